@@ -293,36 +293,38 @@ def quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, di
     return result
 
 
+def time_cuts(df: DataFrame, ts: str, slice_seconds: float) -> DataFrame:
+    """Add ``_us`` and the time slice ``_cut`` of each row."""
+    wide = seconds_to_micros(slice_seconds)
+    return df.withColumn("_us", epoch_micros(ts)).withColumn("_cut", F.floor(F.col("_us") / F.lit(wide)).cast("long"))
+
+
 def sliced_scan(
-    df: DataFrame,
+    cut: DataFrame,
     keys: Sequence[str],
-    ts: str,
     tie: Sequence[str],
-    slice_seconds: float,
-    summarise: Callable[[pd.DataFrame], pd.DataFrame],
+    summarise: Callable[[int, pd.DataFrame], pd.DataFrame],
     summary_schema: str,
     fold: Callable[[pd.DataFrame], pd.DataFrame],
     state_schema: str,
     apply: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     out_schema: T.StructType,
 ) -> DataFrame:
-    """A sequential recurrence per key, run as three parallel passes.
+    """A sequential recurrence per key, run as three parallel passes over slices.
 
-    1. ``summarise`` describes what one slice does to any entry state;
+    1. ``summarise(slice, rows)`` describes what one slice does to any entry state;
     2. ``fold`` walks a key's slice summaries (no rows) and gives each slice its
        entry state;
-    3. ``apply`` runs the recurrence inside the slice from that state.
-    A key is thus never one task, only its list of slice summaries is. Rows
-    reach the functions sorted by ``_us`` and the tie columns.
+    3. ``apply(rows, state)`` runs the recurrence inside the slice from that state.
+    A key is thus never one task, only its list of slice summaries is. ``cut``
+    has ``_us`` and ``_cut`` (see :func:`time_cuts`); rows reach the functions
+    sorted by ``_us`` and the tie columns.
     """
-    wide = seconds_to_micros(slice_seconds)
     keys, order = list(keys), ["_us", *tie]
-    cut = df.withColumn("_us", epoch_micros(ts)).withColumn("_cut", F.floor(F.col("_us") / F.lit(wide)).cast("long"))
-    key_fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    key_fields = f"{key_fields}, _cut long"
+    key_fields = ", ".join([*(f"{k} {cut.schema[k].dataType.simpleString()}" for k in keys), "_cut long"])
 
     def first_pass(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        part = summarise(rows.sort_values(order, kind="stable").reset_index(drop=True))
+        part = summarise(key[-1], rows.sort_values(order, kind="stable").reset_index(drop=True))
         for i, k in enumerate([*keys, "_cut"]):
             part[k] = [key[i]] * len(part)
         return part
