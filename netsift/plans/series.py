@@ -58,10 +58,10 @@ _SEASONAL = f"""{_SERIES}, o AS (SELECT *, row_number() OVER ({_ORDER}) AS rn, (
   u AS (SELECT *, trend + seasonal + 3 * sd AS threshold, coalesce(trend - lag(trend) OVER (PARTITION BY feature ORDER BY rn), 0) AS slope FROM f)"""
 
 
-@query("f5_seasonal_threshold", f"WITH {_SEASONAL} SELECT feature, row_id, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(threshold, 6) AS threshold FROM u")
+@query("f5_seasonal_threshold", f"WITH {_SEASONAL} SELECT feature, row_id, round(trend, 8) AS trend, round(seasonal, 8) AS seasonal, round(threshold, 6) AS threshold FROM u")
 def seasonal_threshold(spark, sf_dir):
     out = H.seasonal_threshold(series(spark, sf_dir)).select("feature", "row_id", "trend", "seasonal", "threshold")
-    return _round(out, "trend", "seasonal", "threshold")
+    return _round(_round(out, "threshold"), "trend", "seasonal", digits=8)
 
 
 @query(
