@@ -48,8 +48,8 @@ def debounce(
         # hits from which the slice can start: those before its first hit plus the gap, and the next one
         first = np.arange(min(int(after[0]) + 1, len(us)))
         table = pd.DataFrame({"from_us": us[first], "last_us": us[last[first]]})
-        # per exit the latest start is enough: any earlier need finds it
-        return table.groupby("last_us", sort=False, as_index=False).agg(from_us=("from_us", "max"))[["from_us", "last_us"]]
+        # of neighbouring starts with the same end the latest is enough: an earlier need finds it
+        return table[table["last_us"] != table["last_us"].shift(-1)]
 
     def fold(parts: pd.DataFrame) -> pd.DataFrame:
         kept = 0 if suppress_start else None

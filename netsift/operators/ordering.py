@@ -27,6 +27,13 @@ def epoch_micros(ts: str | Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
+def event_micros(df: DataFrame, ts: str) -> Column:
+    """As :func:`epoch_micros`; a number is read as seconds and rounded, not cut, to microseconds."""
+    if isinstance(df.schema[ts].dataType, T.NumericType):
+        return F.round(F.col(ts).cast("double") * MICROS).cast("long")
+    return epoch_micros(ts)
+
+
 def seconds_to_micros(seconds: float) -> int:
     return int(round(seconds * MICROS))
 
@@ -47,7 +54,7 @@ def time_slices(df: DataFrame, ts: str, lookback: float, width: float | None = N
     home = F.floor(F.col("_us") / F.lit(wide)).cast("long")
     last = F.floor((F.col("_us") + F.lit(back)) / F.lit(wide)).cast("long")
     return (
-        df.withColumn("_us", epoch_micros(ts))
+        df.withColumn("_us", event_micros(df, ts))
         .withColumn("_home", home)
         .withColumn("_slice", F.explode_outer(F.sequence(F.col("_home"), last)))
         .withColumn("_own", F.col("_slice").eqNullSafe(F.col("_home")))
@@ -64,7 +71,7 @@ def row_numbers(
     are ranked inside their slice.
     """
     wide = seconds_to_micros(slice_seconds)
-    cut = df.withColumn("_us", epoch_micros(ts)).withColumn("_cut", F.floor(F.col("_us") / F.lit(wide)))
+    cut = df.withColumn("_us", event_micros(df, ts)).withColumn("_cut", F.floor(F.col("_us") / F.lit(wide)))
     keys = list(keys)
     counts = cut.groupBy(*keys, "_cut").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(F.col("_cut").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
@@ -296,7 +303,7 @@ def quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, di
 def time_cuts(df: DataFrame, ts: str, slice_seconds: float) -> DataFrame:
     """Add ``_us`` and the time slice ``_cut`` of each row."""
     wide = seconds_to_micros(slice_seconds)
-    return df.withColumn("_us", epoch_micros(ts)).withColumn("_cut", F.floor(F.col("_us") / F.lit(wide)).cast("long"))
+    return df.withColumn("_us", event_micros(df, ts)).withColumn("_cut", F.floor(F.col("_us") / F.lit(wide)).cast("long"))
 
 
 def sliced_scan(

@@ -253,16 +253,16 @@ def _rate_flags(df: DataFrame, rates: list, ts: str) -> DataFrame:
             continue
         wide = [c for c in df.columns if c not in used and not c.startswith("_")]
         cut = time_slices(df, ts, max(reach for *_, reach in members))
-        cut = cut.withColumns({c: F.when(F.col("_own"), F.col(c)) for c in wide}).repartition(base, "_slice")
+        cut = cut.withColumns({c: F.when(F.col("_own"), F.col(c)) for c in wide})
+        # a missing address is the empty one
+        cut = cut.withColumn("_src", F.coalesce("src_ip", F.lit(""))).repartition("_src" if base == "src_ip" else base, "_slice")
         for name, rule, gate, _ in members:
             passed = F.lit(True) if gate is None else F.coalesce(gate, F.lit(False))
-            keys = {"ip": ["src_ip"], "port": ["dst_port"], "ip_port": ["src_ip", "dst_port"]}[rule.track_by]
+            keys = {"ip": ["_src"], "port": ["dst_port"], "ip_port": ["_src", "dst_port"]}[rule.track_by]
             window = Window.partitionBy(*keys, "_slice", "_gate").orderBy("_us")
             kth = F.lag("_us", int(rule.count) - 1).over(window) if rule.count > 1 else F.col("_us")
             latest = F.max("_kth").over(window.rangeBetween(0, 0))
-            has_key = F.lit(True) if rule.track_by == "ip_port" else F.col(keys[0]).isNotNull() & (F.col(keys[0]) != "")
-            if rule.track_by == "port":
-                has_key = F.col("dst_port").isNotNull()
+            has_key = {"ip": F.col("_src") != "", "port": F.col("dst_port").isNotNull(), "ip_port": F.lit(True)}[rule.track_by]
             hit = F.col("_gate") & has_key & (latest >= F.col("_us") - F.lit(seconds_to_micros(rule.seconds)))
             cut = (
                 cut.withColumn("_gate", passed)
@@ -270,7 +270,7 @@ def _rate_flags(df: DataFrame, rates: list, ts: str) -> DataFrame:
                 .withColumn(name, F.coalesce(hit, F.lit(False)))
                 .drop("_gate", "_kth")
             )
-        df = cut.where("_own").drop("_us", "_slice", "_own")
+        df = cut.where("_own").drop("_us", "_slice", "_own", "_src")
     return df
 
 
