@@ -6,16 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsift.functions.plates import clean_plate
-from netsift.operators.evaluation import _ensure_checkpoints
-from netsift.operators.ordering import seconds_to_micros, sliced_scan, time_cuts
+from netsift.operators.ordering import ensure_checkpoints, seconds_to_micros, sliced_scan, time_cuts
 
 NO_PLATE = "No valid license plate detected"
 NMS_ROUND = 1000
+GROUP_ROWS = 100_000
 
 
 def debounce(
@@ -91,33 +91,48 @@ def plate_candidates(df: DataFrame, image: str = "image", top: int = 10, tie: Se
     return largest.where((F.col("h") > 20) & (F.col("w") > 100) & (ratio > 2.0) & (ratio < 6.0))
 
 
-def _iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    width = F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"])
-    height = F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"])
-    both = F.when((width > 0) & (height > 0), (width * height).cast("double")).otherwise(F.lit(0.0))
-    union = a["w"] * a["h"] + b["w"] * b["h"] - both
-    return F.when(union > 0, both / union).otherwise(F.lit(0.0))
-
-
 def _greedy(rows: pd.DataFrame, iou: float) -> pd.DataFrame:
     """Keep boxes by falling confidence unless they overlap a kept one."""
     rows = rows.sort_values("_rank").reset_index(drop=True)
     x, y, w, h = (rows[c].to_numpy(dtype=float) for c in "xywh")
-    kept: list[int] = []
-    for i in range(len(rows)):
-        if kept:
-            k = np.array(kept)
-            width = np.minimum(x[i] + w[i], x[k] + w[k]) - np.maximum(x[i], x[k])
-            height = np.minimum(y[i] + h[i], y[k] + h[k]) - np.maximum(y[i], y[k])
-            both = np.clip(width, 0, None) * np.clip(height, 0, None)
-            union = w[i] * h[i] + w[k] * h[k] - both
-            if np.any(np.divide(both, union, out=np.zeros_like(both), where=union > 0) > iou):
-                continue
-        kept.append(i)
-    rows["_kept"] = rows.index.isin(kept)
+    kept = np.zeros(len(rows), dtype=bool)
+    left = np.arange(len(rows))
+    while len(left):
+        i, rest = left[0], left[1:]
+        kept[i] = True
+        width = np.minimum(x[i] + w[i], x[rest] + w[rest]) - np.maximum(x[i], x[rest])
+        height = np.minimum(y[i] + h[i], y[rest] + h[rest]) - np.maximum(y[i], y[rest])
+        both = np.clip(width, 0, None) * np.clip(height, 0, None)
+        union = w[i] * h[i] + w[rest] * h[rest] - both
+        left = rest[np.divide(both, union, out=np.zeros_like(both), where=union > 0) <= iou]
+    rows["_kept"] = kept
     return rows
 
 
+def _not_covered(rest: DataFrame, kept: DataFrame, iou: float, image: str, box_id: str) -> DataFrame:
+    """Rows of ``rest`` that overlap no kept box of their image; a large image is split over several tasks."""
+    parts = rest.groupBy(F.col(image).alias("_image")).agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("_parts"))
+    on = F.col(image) == F.col("_image")
+    left = rest.join(parts, on).withColumn("_part", F.pmod(F.xxhash64(box_id), F.col("_parts")).cast("int"))
+    right = kept.join(parts, on).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    right = right.select(image, "_part", "x", "y", "w", "h")
+    fields = rest.schema.fieldNames()
+
+    def uncovered(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        covered = np.zeros(len(rows), dtype=bool)
+        x, y, w, h = (rows[c].to_numpy(dtype=float) for c in "xywh")
+        for k in others[["x", "y", "w", "h"]].to_numpy(dtype=float):
+            width = np.minimum(x + w, k[0] + k[2]) - np.maximum(x, k[0])
+            height = np.minimum(y + h, k[1] + k[3]) - np.maximum(y, k[1])
+            both = np.clip(width, 0, None) * np.clip(height, 0, None)
+            union = w * h + k[2] * k[3] - both
+            covered |= np.divide(both, union, out=np.zeros_like(both), where=union > 0) > iou
+        return rows.loc[~covered, fields]
+
+    keys = [image, "_part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(uncovered, rest.schema)
+
+
 def nms(
     boxes: DataFrame,
     iou: float = 0.4,
@@ -136,7 +151,7 @@ def nms(
     """
     if min_confidence is not None:
         boxes = boxes.where(F.col(confidence) > min_confidence)
-    _ensure_checkpoints(boxes.sparkSession)
+    ensure_checkpoints(boxes.sparkSession)
     order = Window.partitionBy(image).orderBy(F.col(confidence).desc(), box_id)
     schema = T.StructType([*boxes.schema.fields, T.StructField("_rank", T.IntegerType()), T.StructField("_kept", T.BooleanType())])
     columns = schema.fieldNames()
@@ -146,19 +161,14 @@ def nms(
         decided = best.groupBy(image).applyInPandas(lambda rows: _greedy(rows, iou)[columns], schema).checkpoint()
         kept = decided.where("_kept").drop("_rank", "_kept")
         result = kept if result is None else result.unionByName(kept)
-        # images with further boxes: where this round ended, and what it kept (at most round_size)
+        # images with further boxes, and where this round ended in them
         place = F.struct((-F.col(confidence)).alias("c"), F.col(box_id).alias("i"))
-        full = decided.groupBy(F.col(image).alias("_image")).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.max(place).alias("_end"),
-            F.collect_list(F.when(F.col("_kept"), F.struct("x", "y", "w", "h"))).alias("_boxes"),
-        )
+        full = decided.groupBy(F.col(image).alias("_image")).agg(F.count(F.lit(1)).alias("_n"), F.max(place).alias("_end"))
         full = full.where(F.col("_n") == round_size)
         if full.isEmpty():
             break
-        own = {c: F.col(c) for c in "xywh"}
-        overlaps = F.exists("_boxes", lambda b: _iou(own, {c: b[c] for c in "xywh"}) > iou)
-        left = left.join(full, F.col(image) == F.col("_image")).where((place > F.col("_end")) & ~overlaps).select(*boxes.columns).checkpoint()
+        rest = left.join(full, F.col(image) == F.col("_image")).where(place > F.col("_end")).select(*boxes.columns)
+        left = _not_covered(rest, kept, iou, image, box_id).checkpoint()
     return result if wanted_class is None else result.where(F.col("class") == wanted_class)
 
 

@@ -215,7 +215,7 @@ def trailing_features(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         epoch_micros(ts).alias("_us"),
         length.alias("_len"),
-        (length * length).cast("decimal(20,0)").alias("_sq"),
+        (length * length).alias("_sq"),
         F.coalesce(F.col("protocol") == "TCP", F.lit(False)).cast("long").alias("_tcp"),
         *[v.alias(f"_f_{n}") for n, v in {**flags, **shares}.items()],
         *[_present(c, k).cast("string").alias(f"_u_{n}") for n, (c, k) in UNIQUES.items()],
@@ -283,7 +283,8 @@ def trailing_features(
     )
     n = F.col("_n").cast("double")
     mean = F.col("_len") / n
-    spread = (F.col("_n").cast("decimal(18,0)") * F.col("_sq") - (F.col("_len") * F.col("_len")).cast("decimal(20,0)")).cast("double")
+    exact = [F.col(c).cast("decimal(19,0)") for c in ("_n", "_sq", "_len")]
+    spread = (exact[0] * exact[1] - exact[2] * exact[2]).cast("double")
     return joined.select(
         F.col("_id").alias(row_id),
         *[F.col(f"_k_{k}").alias(k) for k in keys],

@@ -40,7 +40,10 @@ def load_parameters(spark: SparkSession, path: str) -> dict:
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact squared distances between the rows of two matrices."""
     if a.shape[1] <= 8:
-        return ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+        total = np.zeros((len(a), len(b)))
+        for i in range(a.shape[1]):
+            total += np.subtract.outer(a[:, i], b[:, i]) ** 2
+        return total
     # centred first: the expanded square then loses little precision
     centre = b.mean(axis=0) if len(b) else 0.0
     a, b = a - centre, b - centre

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.operators.evaluation import _ensure_checkpoints
+from netsift.operators.ordering import ensure_checkpoints
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates large and small stars until nothing changes; each round is
     checkpointed, so the plan stays short.
     """
-    _ensure_checkpoints(edges.sparkSession)
+    ensure_checkpoints(edges.sparkSession)
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b))).distinct()
     current = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct().checkpoint()
 

@@ -10,11 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.operators.evaluation import _ensure_checkpoints
 from netsift.operators.models import neighbors as N
 from netsift.operators.models.base import is_complete, load_parameters, matrix, save_parameters, squared_distances, vector
 from netsift.operators.models.components import connected_components
-from netsift.operators.ordering import quantiles, running_totals
+from netsift.operators.ordering import ensure_checkpoints, quantiles, running_totals
 
 
 def _points(df: DataFrame, features: Sequence[str], id_col: str) -> DataFrame:
@@ -65,7 +64,7 @@ class Dbscan:
     cell_rows: int = N.CELL_ROWS
 
     def fit(self, df: DataFrame) -> FittedDbscan:
-        _ensure_checkpoints(df.sparkSession)
+        ensure_checkpoints(df.sparkSession)
         eps, least = self.eps, self.min_samples
         rows = _points(df, self.features, self.id_col)
         # one point per distinct vector, named by its least row id
@@ -176,7 +175,7 @@ class Lof:
     contamination: float = 0.1
 
     def fit(self, df: DataFrame) -> FittedLof:
-        _ensure_checkpoints(df.sparkSession)
+        ensure_checkpoints(df.sparkSession)
         points = _points(df, self.features, self.id_col).checkpoint()
         n = points.count()
         k = min(self.k, n - 1)

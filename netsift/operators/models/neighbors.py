@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from netsift.operators.models.base import matrix, squared_distances
 
 MAX_PIVOTS = 8192
-CELL_ROWS = 20_000
+CELL_ROWS = 5_000
 BLOCK_ROWS = 50_000
 SLACK = 1e-9
 

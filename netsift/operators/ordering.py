@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,19 @@ MAX_PARTS = 256
 EXACT_LIMIT = 200_000
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Use the cluster's checkpoint folder; only where none is set, a temporary one (tests)."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    context.setCheckpointDir(folder)
+
+
 def epoch_micros(ts: str | Column) -> Column:
     """Microseconds since the epoch of a timestamp column (with or without zone)."""
     col = F.col(ts) if isinstance(ts, str) else ts

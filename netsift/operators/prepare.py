@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsift.functions.network import ip_number
-from netsift.operators.ordering import quantiles, running_totals
+from netsift.operators.ordering import ensure_checkpoints, quantiles, running_totals
 
 _NUMERIC = (T.NumericType,)
 
@@ -199,9 +199,11 @@ class Preprocessor:
         numbers = [c for c in numeric_columns(df) if c not in fixed]
         texts = [c for c in text_columns(df) if c not in fixed]
         fitted = FittedPreprocessor(self.label, self.order_by, medians(df, numbers), modes(df, texts), {})
-        cleaned = dedupe(fitted.clean(df), self.order_by)
+        cleaned = fitted.clean(df)
+        # the first of equal rows stays, so first appearances are the same before duplicates are dropped
         fitted.codes = {c: factor_codes(cleaned, c, self.order_by) for c in texts}
-        encoded = fitted.encode(cleaned)
+        ensure_checkpoints(df.sparkSession)
+        encoded = fitted.encode(dedupe(cleaned, self.order_by)).checkpoint()
         features = [c for c in [*numbers, *texts] if c != self.label]
         fitted.constants = scale_constants(encoded, features, self.method)
         return fitted, scale(encoded, fitted.constants)

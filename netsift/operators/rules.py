@@ -27,8 +27,12 @@ class _Context:
         return F.col(name)
 
     def rate(self, rule: RateRule, gate: Column | None, gate_reach: float) -> tuple[Column, float]:
-        name = f"_rate_{len(self.rates)}"
         reach = rule.seconds + gate_reach
+        for name, known, known_gate, known_reach in self.rates:
+            same = (known.track_by, known.count, known.seconds) == (rule.track_by, rule.count, rule.seconds)
+            if same and gate is None and known_gate is None:
+                return F.col(name), known_reach
+        name = f"_rate_{len(self.rates)}"
         self.rates.append((name, rule, gate, reach))
         return F.col(name), reach
 
@@ -257,19 +261,17 @@ def _rate_flags(df: DataFrame, rates: list, ts: str) -> DataFrame:
         # a missing address is the empty one
         cut = cut.withColumn("_src", F.coalesce("src_ip", F.lit(""))).repartition("_src" if base == "src_ip" else base, "_slice")
         for name, rule, gate, _ in members:
-            passed = F.lit(True) if gate is None else F.coalesce(gate, F.lit(False))
             keys = {"ip": ["_src"], "port": ["dst_port"], "ip_port": ["_src", "dst_port"]}[rule.track_by]
-            window = Window.partitionBy(*keys, "_slice", "_gate").orderBy("_us")
+            gates = [] if gate is None else ["_gate"]
+            window = Window.partitionBy(*keys, "_slice", *gates).orderBy("_us")
             kth = F.lag("_us", int(rule.count) - 1).over(window) if rule.count > 1 else F.col("_us")
             latest = F.max("_kth").over(window.rangeBetween(0, 0))
             has_key = {"ip": F.col("_src") != "", "port": F.col("dst_port").isNotNull(), "ip_port": F.lit(True)}[rule.track_by]
-            hit = F.col("_gate") & has_key & (latest >= F.col("_us") - F.lit(seconds_to_micros(rule.seconds)))
-            cut = (
-                cut.withColumn("_gate", passed)
-                .withColumn("_kth", kth)
-                .withColumn(name, F.coalesce(hit, F.lit(False)))
-                .drop("_gate", "_kth")
-            )
+            passed = F.lit(True) if gate is None else F.col("_gate")
+            hit = passed & has_key & (latest >= F.col("_us") - F.lit(seconds_to_micros(rule.seconds)))
+            if gate is not None:
+                cut = cut.withColumn("_gate", F.coalesce(gate, F.lit(False)))
+            cut = cut.withColumn("_kth", kth).withColumn(name, F.coalesce(hit, F.lit(False))).drop("_gate", "_kth")
         df = cut.where("_own").drop("_us", "_slice", "_own", "_src")
     return df
 
