@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.operators.ordering import epoch_micros, order_values, seconds_to_micros
+from netsift.operators.ordering import epoch_micros, order_values, running_totals, seconds_to_micros
 
 
 def count_over_time(df: DataFrame, seconds: float = 60, ts: str = "ts") -> DataFrame:
@@ -15,8 +15,9 @@ def count_over_time(df: DataFrame, seconds: float = 60, ts: str = "ts") -> DataF
     step = seconds_to_micros(seconds)
     start = (F.floor(epoch_micros(ts) / F.lit(step)) * step).cast("long")
     counts = df.where(F.col(ts).isNotNull()).groupBy(start.alias("_us")).agg(F.count(F.lit(1)).alias("n"))
-    spine = counts.agg(F.min("_us").alias("a"), F.max("_us").alias("b")).where(F.col("a").isNotNull())
-    spine = spine.select(F.explode(F.sequence("a", "b", F.lit(step))).alias("_us"))
+    limits = df.agg(F.min(start).alias("a"), F.max(start).alias("b")).first()
+    first, last = (limits["a"], limits["b"] + 1) if limits["a"] is not None else (0, 0)
+    spine = df.sparkSession.range(first, last, step).withColumnRenamed("id", "_us")
     kind = df.schema[ts].dataType
     return (
         spine.join(counts, "_us", "left")
@@ -170,8 +171,6 @@ def assign_batches(df: DataFrame, order: Sequence[str], size: int, sinks: Sequen
     first, rest = order[0], [*order[1:]]
     sinks = list(sinks)
     counts = df.groupBy(*sinks, first).agg(F.count(F.lit(1)).alias("_n"))
-    from netsift.operators.ordering import running_totals
-
     key = sinks[0] if sinks else None
     if len(sinks) > 1:
         raise ValueError("one sink column at most")

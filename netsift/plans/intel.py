@@ -10,7 +10,10 @@ from netsift.operators import intel as T
 from netsift.plans.catalogue import query
 from netsift.plans.fields import FOUND_SQL, SEVERITY_COLUMNS, observed_alerts
 from netsift.plans.tables import PACKETS_SQL, packets, table, with_packets
+from netsift.schemas import ALERT_LOG, PACKET
 from netsift.sources import feeds as S
+from netsift.sources.logs import log_time, parse_mixed_lines
+from netsift.sources.packets import JSON_TIMES, parse_packet_lines
 
 _HOST = "split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1)"
 
@@ -55,6 +58,42 @@ def on_indicators(sql: str) -> str:
     return f"{head}, {body[4:]}" if body.upper().startswith("WITH") else f"{head} {body}"
 
 
+# -- logs ---------------------------------------------------------------------
+
+
+@query(
+    "a2_packet_lines",
+    with_packets("""SELECT packet_id, ts, protocol, src_ip, dst_ip, src_port, dst_port, length, syn, urg, payload FROM packets WHERE packet_id % 10 > 0"""),
+)
+def packet_lines(spark, sf_dir):
+    """Packets written as JSON lines, every tenth line broken, and read back."""
+    p = packets(spark, sf_dir).select(*[c for c in PACKET.fieldNames() if c not in ("ip_version", "icmp_type", "icmp_code")])
+    line = F.to_json(F.struct(F.col("ts").alias("timestamp"), *[c for c in p.columns if c != "ts"]), JSON_TIMES)
+    lines = p.select(F.when(F.col("packet_id") % 10 == 0, F.left(line, F.length(line) - 3)).otherwise(line).alias("value"))
+    out = parse_packet_lines(lines).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return out.select("packet_id", "ts", "protocol", "src_ip", "dst_ip", "src_port", "dst_port", "length", "tcp_flags.syn", "tcp_flags.urg", "payload")
+
+
+@query(
+    "a4_alert_log",
+    """SELECT date_trunc('second', ts) AS ts, 'S-' || event_type AS signature_id, 'user ' || CAST(user_id AS VARCHAR) AS message FROM events WHERE event_id % 4 < 2
+      UNION ALL SELECT NULL, 'S-' || event_type, 'user ' || CAST(user_id AS VARCHAR) FROM events WHERE event_id % 4 = 2""",
+)
+def alert_log(spark, sf_dir):
+    """JSON lines, pipe-delimited lines, lines with a bad time, and lines to drop."""
+    fields = {"signature_id": F.concat(F.lit("S-"), "event_type"), "message": F.concat(F.lit("user "), F.col("user_id").cast("string"))}
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    text = F.concat_ws(" | ", stamp, *fields.values(), F.lit("more"))
+    line = (
+        F.when(F.col("event_id") % 4 == 0, F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), *[c.alias(n) for n, c in fields.items()])))
+        .when(F.col("event_id") % 4 == 1, text)
+        .when(F.col("event_id") % 4 == 2, F.concat_ws("|", F.lit("yesterday"), *fields.values()))
+        .otherwise(F.concat_ws("|", stamp, "event_type"))
+    )
+    out = parse_mixed_lines(table(spark, sf_dir, "events").select(line.alias("value")), ALERT_LOG)
+    return out.select(log_time("timestamp").cast("timestamp_ntz").alias("ts"), "signature_id", "message")
+
+
 # -- feeds --------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netsift.operators import flows, report
 from netsift.plans.catalogue import query
 from netsift.plans.tables import packets, table, with_packets
+from netsift.streaming import packets as live
 
 FLAGS = ["syn", "ack", "fin", "rst", "psh", "urg"]
 
@@ -244,3 +245,50 @@ def latency_profile(spark, sf_dir):
 def top_features(spark, sf_dir):
     p = table(spark, sf_dir, "part").selectExpr("p_name AS feature", "p_retailprice AS importance")
     return report.top_features(p, 20)
+
+
+# -- the windowed statistics of the streams, on the whole table
+
+_HOURS = "INTERVAL '2 hours'"
+
+
+@query(
+    "k2_rate_windows",
+    with_packets(f"""SELECT time_bucket({_HOURS}, ts) AS window_start, time_bucket({_HOURS}, ts) + {_HOURS} AS window_end, count(*) AS packets,
+      CAST(sum(length) AS BIGINT) AS bytes, round(count(*) / 7200, 6) AS avg_pps, round(sum(length) / 7200, 6) AS avg_bps FROM packets GROUP BY 1, 2"""),
+)
+def rate_windows(spark, sf_dir):
+    timed = live.event_time(packets(spark, sf_dir))
+    out = live.rate_windows(timed, "2 hours")
+    plain = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    return _round(out.withColumns(plain), "avg_pps", "avg_bps")
+
+
+@query(
+    "k2_sliding_summary",
+    with_packets("""WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) - to_hours(CAST(k AS INT)) AS window_start, * FROM packets, range(0, 6) t(k))
+    SELECT window_start, count(*) AS packet_count, round(avg(length), 6) AS avg_packet_size, CAST(max(length) AS BIGINT) AS max_packet_size,
+      round(count(*) FILTER (WHERE protocol = 'UDP') / count(*), 6) AS protocol_udp_ratio,
+      round(CASE WHEN count(*) FILTER (WHERE protocol = 'TCP') > 0 THEN count(*) FILTER (WHERE protocol = 'TCP' AND syn) / count(*) FILTER (WHERE protocol = 'TCP') ELSE 0 END, 6) AS tcp_syn_ratio
+    FROM w GROUP BY 1"""),
+)
+def sliding_summary(spark, sf_dir):
+    out = live.sliding_summary(live.event_time(packets(spark, sf_dir)), "6 hours", "1 hour")
+    out = out.select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "packet_count", "avg_packet_size", "max_packet_size", "protocol_udp_ratio", "tcp_syn_ratio"
+    )
+    return _round(out, "avg_packet_size", "protocol_udp_ratio", "tcp_syn_ratio")
+
+
+@query(
+    "k3_flow_sessions",
+    with_packets("""WITH k AS (SELECT protocol, src_ip, coalesce(src_port % 4, 0) AS src_port, dst_ip, coalesce(dst_port, 0) AS dst_port, ts, length FROM packets),
+    g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 172800000000 THEN 0 ELSE 1 END AS fresh FROM k WINDOW w AS (PARTITION BY protocol, src_ip, src_port, dst_ip, dst_port ORDER BY ts)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY protocol, src_ip, src_port, dst_ip, dst_port ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+    SELECT protocol, src_ip, src_port, dst_ip, dst_port, count(*) AS packet_count, CAST(sum(length) AS BIGINT) AS byte_count, min(ts) AS start_time, max(ts) AS last_time,
+      round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS flow_duration FROM s GROUP BY protocol, src_ip, src_port, dst_ip, dst_port, session"""),
+)
+def flow_sessions(spark, sf_dir):
+    out = live.flow_sessions(live.event_time(few_port_packets(spark, sf_dir)), "48 hours")
+    plain = {c: F.col(c).cast("timestamp_ntz") for c in ("start_time", "last_time")}
+    return _round(out.withColumns(plain).select(*flows.FLOW_KEY, "packet_count", "byte_count", "start_time", "last_time", "flow_duration"), "flow_duration")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsift.schemas import ALERT_LOG, ATTACK_LOG
+from netsift.sources.packets import JSON_TIMES
 
 
 def parse_mixed_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
@@ -38,11 +39,11 @@ def read_attack_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_mixed_lines(spark.read.text(path), ATTACK_LOG)
 
 
-def log_time(ts: str) -> F.Column:
+def log_time(ts: str) -> Column:
     """Time of a log entry: ISO 8601 (``Z`` allowed) or ``yyyy-MM-dd HH:mm:ss``; else NULL."""
     return F.try_to_timestamp(F.col(ts))
 
 
 def write_alerts(df: DataFrame, path: str) -> None:
     """Append alerts as JSON lines."""
-    df.write.mode("append").json(path)
+    df.write.mode("append").options(**JSON_TIMES).json(path)

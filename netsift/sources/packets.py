@@ -8,6 +8,12 @@ from pyspark.sql import types as T
 
 from netsift.schemas import PACKET
 
+# times are written with microseconds
+JSON_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 # on disk the event time is called "timestamp"
 _LINE = T.StructType(
     [T.StructField("timestamp" if f.name == "ts" else f.name, f.dataType) for f in PACKET.fields]
@@ -32,4 +38,4 @@ def stream_packet_lines(spark: SparkSession, path: str, max_files: int = 100) ->
 
 
 def write_packets(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.withColumnRenamed("ts", "timestamp").write.mode(mode).json(path)
+    df.withColumnRenamed("ts", "timestamp").write.mode(mode).options(**JSON_TIMES).json(path)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from netsift.sources.packets import JSON_TIMES
+
 Sink = Callable[[DataFrame, int], None]
 
 
@@ -16,7 +18,7 @@ def json_sink(path: str) -> Sink:
     """JSON lines under one folder per batch; a repeated batch replaces its folder."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").json(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").options(**JSON_TIMES).json(f"{path}/batch_id={batch_id}")
 
     return write
 

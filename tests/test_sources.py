@@ -18,14 +18,14 @@ def test_dataset_by_extension(spark, tmp_path):
 
 
 def test_packets_round_trip(spark, tmp_path):
-    line = {"packet_id": 1, "timestamp": "2024-01-01T00:00:05.25", "src_ip": "1.1.1.1", "tcp_flags": {"syn": True}, "length": 9}
+    line = {"packet_id": 1, "timestamp": "2024-01-01T00:00:05.250001", "src_ip": "1.1.1.1", "tcp_flags": {"syn": True}, "length": 9}
     (tmp_path / "in.json").write_text(json.dumps(line) + "\n{broken\n\n")
     df = read_packets(spark, str(tmp_path / "in.json"))
     write_packets(df, str(tmp_path / "out"))
     back = read_packets(spark, str(tmp_path / "out"))
     assert back.collect() == df.collect()
     row = back.first()
-    assert row.ts == dt.datetime(2024, 1, 1, 0, 0, 5, 250000) and row.tcp_flags.syn and row.tcp_flags.ack is None
+    assert row.ts == dt.datetime(2024, 1, 1, 0, 0, 5, 250001) and row.tcp_flags.syn and row.tcp_flags.ack is None
 
 
 def test_mixed_logs(spark, tmp_path):
