@@ -57,8 +57,8 @@ def dbscan(spark, sf_dir):
 @query(
     "j4_dbscan_score",
     f"""WITH {_DBSCAN}, s AS (SELECT s_suppkey, s_acctbal / 900 AS a, CAST(s_nationkey AS DOUBLE) + 0.3 AS b, 9.0 AS c FROM supplier)
-    SELECT s_suppkey, round(min(sqrt((s.a - p.a) ** 2 + (s.b - p.b) ** 2 + (s.c - p.c) ** 2)), 6) AS score,
-      min(sqrt((s.a - p.a) ** 2 + (s.b - p.b) ** 2 + (s.c - p.c) ** 2)) > {EPS} AS is_anomaly FROM s, p SEMI JOIN core ON core.i = p.id GROUP BY 1""",
+    SELECT s_suppkey, round(coalesce(min(d), 1), 6) AS score, coalesce(min(d), 1) > {EPS} AS is_anomaly
+    FROM (SELECT s_suppkey, sqrt((s.a - p.a) ** 2 + (s.b - p.b) ** 2 + (s.c - p.c) ** 2) AS d FROM s LEFT JOIN (p SEMI JOIN core ON core.i = p.id) ON true) GROUP BY 1""",
 )
 def dbscan_score(spark, sf_dir):
     fitted = M.Dbscan(["a", "b", "c"], "c_custkey", EPS, 5).fit(points(spark, sf_dir))

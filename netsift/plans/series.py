@@ -67,11 +67,12 @@ def seasonal_threshold(spark, sf_dir):
 @query(
     "f6_seasonal_forecast",
     f"""WITH {_SEASONAL}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY rn DESC) AS back FROM u) WHERE back = 1)
-    SELECT l.feature, CAST(h AS INT) AS step, round(l.trend + l.slope * h + u.seasonal, 4) AS forecast, round(l.trend + l.slope * h + u.seasonal + 3 * l.sd, 4) AS threshold
+    SELECT l.feature, CAST(h AS INT) AS step, round(l.trend + l.slope * h + u.seasonal, 8) AS forecast, round(l.trend + l.slope * h + u.seasonal + 3 * l.sd, 6) AS threshold
     FROM l, range(1, 37) t(h), u WHERE u.feature = l.feature AND u.rn = l.rn - 24 + (h - 1) % 24 + 1""",
 )
 def seasonal_forecast(spark, sf_dir):
-    return _round(H.seasonal_forecast(H.seasonal_threshold(series(spark, sf_dir)), 36), "forecast", "threshold", digits=4)
+    out = H.seasonal_forecast(H.seasonal_threshold(series(spark, sf_dir)), 36)
+    return _round(_round(out, "threshold"), "forecast", digits=8)
 
 
 @query(
