@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,15 +60,18 @@ def drift_report(
     reference: DataFrame,
     current: DataFrame,
     features: Sequence[str],
-    performance: float | None = None,
+    performance: float | Callable[[DataFrame], float] | None = None,
     baseline: float | None = None,
     threshold: float = DRIFT_THRESHOLD,
     min_rows: int = MIN_DRIFT_ROWS,
 ) -> DataFrame:
     """One row: rows seen, drift score and flag, drifted features, degraded performance.
 
-    With fewer than ``min_rows`` current rows nothing is reported.
+    With fewer than ``min_rows`` current rows nothing is reported. A function
+    given as ``performance`` is called with the current sample.
     """
+    if callable(performance):
+        performance = performance(current)
     rows = current.agg(F.count(F.lit(1)).alias("rows"))
     scores = ks_drift(reference, current, features).agg(
         F.max("score").alias("_score"),

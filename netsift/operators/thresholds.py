@@ -7,7 +7,7 @@ before it (``previous_threshold``).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -227,10 +227,14 @@ def flag_over_threshold(df: DataFrame, value: str = "value") -> DataFrame:
 
 @dataclass(frozen=True)
 class ThresholdPlan:
-    """How one feature is watched: ``moving``, ``ewma`` or ``seasonal``, with options of that function."""
+    """How one feature is watched: ``moving``, ``ewma`` or ``seasonal``, with options of that function.
+
+    ``method`` may also be a function like those: it takes the feature's rows,
+    ``tie`` and the options, and adds ``threshold`` and ``previous_threshold``.
+    """
 
     feature: str
-    method: str = "moving"
+    method: str | Callable[..., DataFrame] = "moving"
     options: dict = field(default_factory=dict)
 
 
@@ -241,7 +245,7 @@ def apply_thresholds(df: DataFrame, plan: Sequence[ThresholdPlan], tie: str = "r
     """Thresholds and flags of a long table by feature; features without a plan are not anomalous."""
     groups: dict[tuple, list[str]] = {}
     for p in plan:
-        if p.method not in METHODS:
+        if not callable(p.method) and p.method not in METHODS:
             raise ValueError(f"unknown method: {p.method}")
         groups.setdefault((p.method, tuple(sorted(p.options.items()))), []).append(p.feature)
     columns = ["feature", "ts", tie, "value", "threshold", "previous_threshold"]
@@ -250,7 +254,7 @@ def apply_thresholds(df: DataFrame, plan: Sequence[ThresholdPlan], tie: str = "r
     out = base.where(~F.coalesce(F.col("feature").isin([p.feature for p in plan]), F.lit(False)))
     out = out.withColumns({"threshold": none, "previous_threshold": none})
     for (method, options), features in groups.items():
-        part = METHODS[method](base.where(F.col("feature").isin(features)), tie=tie, **dict(options))
+        part = (method if callable(method) else METHODS[method])(base.where(F.col("feature").isin(features)), tie=tie, **dict(options))
         out = out.unionByName(part.select(*columns))
     return flag_over_threshold(out)
 

@@ -121,3 +121,17 @@ def test_update_decisions(spark):
     assert decide(True, dt.datetime(2024, 1, 9, 20), "2024-01-10 00:00:00") == []
     assert decide(True, dt.datetime(2024, 1, 9, 12), "2024-01-10 00:00:00") == ["drift"]
     assert decide(True, dt.datetime(2024, 1, 3), "2024-01-10 00:00:00") == ["max_interval", "drift"]
+
+
+def test_drift_calls_the_evaluator(spark):
+    from netsift.operators import drift as D
+
+    a = spark.createDataFrame([(float(i % 10),) for i in range(200)], "x double")
+    b = spark.createDataFrame([(float(i % 10 + 5),) for i in range(150)], "x double")
+    row = D.drift_report(a, b, ["x"], performance=lambda df: df.count() / 1000, baseline=0.5).first()
+    assert row.drift_detected and row.drifted_features == ["x"] and row.performance_degradation
+    assert abs(row.drift_score - 0.5) < 1e-12
+    few = D.drift_report(a, b.limit(50), ["x"]).first()
+    assert not few.drift_detected and few.drift_score == 0.0
+    shift = D.wasserstein_drift(a, b, ["x"]).first().score
+    assert abs(shift - 5 / 9) < 1e-12

@@ -88,6 +88,19 @@ def test_empty_and_unknown_composites_never_match(spark):
     assert R.match_all(df, rules).count() == 0
 
 
+class LongPayload(R.SignatureRule):
+    kind = "long"
+
+    def column(self):
+        return F.length("payload") > 3
+
+
+def test_rules_of_the_user(spark):
+    df = packets(spark, [(0, "1.1.1.1", 1, "abcdef"), (1, "1.1.1.1", 1, "ab"), (2, "1.1.1.1", 1)])
+    rules = [LongPayload("L", "long"), R.CompositeRule("C", "c", subrules=[LongPayload("L", "long"), R.RateRule("r", "r", count=1, seconds=5)])]
+    assert sorted((r.packet_id, r.rule_id) for r in R.match_all(df, rules).collect()) == [(0, "C"), (0, "L")]
+
+
 def test_rules_round_trip(tmp_path):
     path = str(tmp_path / "rules.yaml")
     R.save_rules(R.default_rules(), path)

@@ -73,6 +73,14 @@ def test_unplanned_features_are_not_anomalous(spark):
     assert flagged[2].is_anomaly
 
 
+def test_thresholds_of_the_user(spark):
+    def fixed(rows, tie, limit):
+        return rows.withColumns({"threshold": F.lit(limit), "previous_threshold": F.lit(limit)})
+
+    out = H.apply_thresholds(series(spark, [1, 5, 9]), [H.ThresholdPlan("f", fixed, {"limit": 4.0})])
+    assert {r.row_id: r.is_anomaly for r in out.collect()} == {0: False, 1: True, 2: True}
+
+
 def test_forecast_of_a_short_series_repeats(spark):
     thresholds = H.seasonal_threshold(series(spark, [1, 2, 3]), period=4)
     got = H.seasonal_forecast(thresholds, 2, period=4).orderBy("step").collect()
