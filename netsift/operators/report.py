@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.operators.ordering import epoch_micros, order_values, running_totals, seconds_to_micros
+from netsift.operators.ordering import epoch_micros, order_values, row_numbers, seconds_to_micros
 
 
 def count_over_time(df: DataFrame, seconds: float = 60, ts: str = "ts") -> DataFrame:
@@ -27,12 +27,9 @@ def count_over_time(df: DataFrame, seconds: float = 60, ts: str = "ts") -> DataF
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Count and percentage per value; NULL is left out."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("_total"))
-    # one row
-    return counts.join(F.broadcast(total)).select(
-        F.col(column).alias("value"), "count", (F.col("count") * 100.0 / F.col("_total")).alias("percent")
-    )
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    total = counts.agg(F.sum("count")).scalar()
+    return counts.select("value", "count", (F.col("count") * 100.0 / total).alias("percent"))
 
 
 def top_n(df: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -48,19 +45,16 @@ def top_features(df: DataFrame, n: int = 20, name: str = "feature", importance:
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Equal-width bins over [min, max]; the last bin includes the maximum; empty bins 0."""
     x = F.col(column).cast("double")
-    # one row; bounds and total of the column
-    limits = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")).where(F.col("_lo").isNotNull())
-    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(F.lit(1.0) / bins)
-    limits = limits.withColumn("_width", width)
-    placed = F.least(F.floor((x - F.col("_lo")) / F.col("_width")), F.lit(bins - 1)).cast("int")
-    counts = (
-        df.where(x.isNotNull()).join(F.broadcast(limits)).groupBy(placed.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    )
-    spine = limits.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return spine.join(counts, "bin", "left").select(
+    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    low = F.lit(lo).cast("double")
+    width = F.lit(((hi - lo) / bins if hi > lo else 1.0 / bins) if lo is not None else None).cast("double")
+    placed = F.least(F.floor((x - low) / width), F.lit(bins - 1)).cast("int")
+    counts = df.where(x.isNotNull()).groupBy(placed.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return spine.join(counts, "bin", "left").where(low.isNotNull()).select(
         "bin",
-        (F.col("_lo") + F.col("bin") * F.col("_width")).alias("bin_start"),
-        (F.col("_lo") + (F.col("bin") + 1) * F.col("_width")).alias("bin_end"),
+        (low + F.col("bin") * width).alias("bin_start"),
+        (low + (F.col("bin") + 1) * width).alias("bin_end"),
         F.coalesce("n", F.lit(0)).alias("count"),
     )
 
@@ -162,24 +156,13 @@ def dashboard(packets: DataFrame, alerts: DataFrame, top: int = 10) -> dict[str,
     return tables
 
 
-def assign_batches(df: DataFrame, order: Sequence[str], size: int, sinks: Sequence[str]) -> DataFrame:
+def assign_batches(
+    df: DataFrame, order: Sequence[str], size: int, sinks: Sequence[str] = (), slice_seconds: float = 3600.0
+) -> DataFrame:
     """Number rows into batches of ``size`` per sink, in order.
 
-    A sink's rows are counted per value of the first order column, so the rows
-    are ranked in many small groups and not sink by sink.
+    The first order column is a time (or a number of seconds); rows are ranked
+    in slices of it and not sink by sink.
     """
-    first, rest = order[0], [*order[1:]]
-    sinks = list(sinks)
-    counts = df.groupBy(*sinks, first).agg(F.count(F.lit(1)).alias("_n"))
-    key = sinks[0] if sinks else None
-    if len(sinks) > 1:
-        raise ValueError("one sink column at most")
-    upto = running_totals(counts, first, {"_upto": "_n"}, key=key)
-    before = upto.select(*sinks, first, (F.col("_upto") - F.col("_n")).alias("_before"))
-    window = Window.partitionBy(*sinks, first).orderBy(*(rest or [first]))
-    number = F.row_number().over(window) + F.col("_before")
-    return (
-        df.join(before, [*sinks, first])
-        .withColumn("batch", F.floor((number - 1) / size).cast("long"))
-        .drop("_before")
-    )
+    numbered = row_numbers(df, sinks, order[0], list(order[1:]), slice_seconds)
+    return numbered.withColumn("batch", F.floor((F.col("_rn") - 1) / size).cast("long")).drop("_rn")
