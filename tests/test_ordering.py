@@ -51,3 +51,19 @@ def test_row_numbers_with_small_slices(spark):
     for key in ("x", "y", None):
         ordered = sorted([(s, i) for k, s, i in rows if k == key])
         assert [got[i] for _, i in ordered] == list(range(1, len(ordered) + 1))
+
+
+def test_time_slices_spread_a_key_and_keep_its_past(spark):
+    rng = random.Random(4)
+    seconds = [rng.randint(0, 4000) for _ in range(300)] + [None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seconds)], "i long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    rows = O.time_slices(df, "ts", 50).collect()
+    own = [r for r in rows if r._own]
+    assert sorted(r.i for r in own) == list(range(301))
+    assert len({r._slice for r in own}) > 15 and len(rows) < 1.5 * 301
+    held = {}
+    for r in rows:
+        held.setdefault(r._slice, set()).add(r.i)
+    for r in own:
+        if r.s is not None:
+            assert {i for i, s in enumerate(seconds) if s is not None and r.s - 50 <= s <= r.s} <= held[r._slice]

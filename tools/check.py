@@ -56,10 +56,12 @@ def compare(spark, con, name, sf_dir):
     got = df.collect()
     took = time.time() - start
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    cross = [j for j in ("CartesianProduct", "BroadcastNestedLoopJoin") if j in plan]
     nested = [f"{n}:{t}" for n, t in types.items() if t.startswith(("array", "map", "struct", "decimal"))]
     sql = catalogue.ORACLES.get(name)
     if sql is None:
-        return took, f"rows only ({len(got)})"
+        return took, f"rows only ({len(got)})" + (f" CROSS {cross}" if cross else "")
     start = time.time()
     cur = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
@@ -77,7 +79,7 @@ def compare(spark, con, name, sf_dir):
     mixed = [
         f"{c}" for i, c in enumerate(cols) if have and type(have[0][i]) is not type(want[0][i]) and None not in (have[0][i], want[0][i])
     ]
-    return took, f"ok {len(have)} rows, sql {sql_took:.1f}s{empty}{note}" + (f" TYPES {mixed}" if mixed else "")
+    return took, f"ok {len(have)} rows, sql {sql_took:.1f}s{empty}{note}" + (f" TYPES {mixed}" if mixed else "") + (f" CROSS {cross}" if cross else "")
 
 
 def main():
