@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +71,7 @@ def slices(frames: Iterator[pd.DataFrame], text: str, chars: int = 1 << 21) -> I
     for frame in frames:
         if not len(frame):
             continue
-        sizes = frame[text].str.len().fillna(0).to_numpy(dtype="int64").cumsum()
+        sizes = np.fromiter((len(t) if t else 0 for t in frame[text]), dtype=np.int64, count=len(frame)).cumsum()
         part = (sizes - 1).clip(min=0) // chars
         for _, piece in frame.groupby(part, sort=True):
             yield piece.reset_index(drop=True)
@@ -79,3 +80,16 @@ def slices(frames: Iterator[pd.DataFrame], text: str, chars: int = 1 << 21) -> I
 def spread(df: DataFrame, n: int | None = None) -> DataFrame:
     """More, smaller tasks for work in Python (a hash of all columns is not needed: round robin)."""
     return df.repartition(n or df.sparkSession.sparkContext.defaultParallelism * 2)
+
+
+def score(docs: DataFrame, model, text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
+    """The chosen columns of every row with the ``score`` of its whole text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in (columns or docs.columns) if c != "score"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in slices(frames, "_text"):
+            yield frame[kept].assign(score=shared.value.scores(frame["_text"].tolist()))
+
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text")).mapInPandas(run, f"{fields}, score double")

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.llm import bpe, chat, decontaminate
-from netsift.llm.common import table
+from netsift.llm import bpe, chat, decontaminate, language, quality, toxicity
+from netsift.llm.common import held_out, score, table
 
 QUERIES = {}
 ORACLES = {}
@@ -24,6 +24,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """Texts and labels of the rows that may be learnt from."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), label).where(F.col(label).isNotNull() & ~held_out("_id"))
+    return docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_id")).select("doc_id", "text", label)
+
+
+@_query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(_labelled(docs, spark, sf_dir, "toxic"))
+    scored = score(docs, model, columns=("doc_id",))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 with control strings in its texts, formatted and read back."""
@@ -40,3 +55,21 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document, and of the bytes that they decode to."""
     ids = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digest_ids(ids)
+
+
+@_query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _labelled(docs, spark, sf_dir, "quality"))
+    scored = score(docs, model, columns=("doc_id",))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out()))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "span_words", "span_langs")
