@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.llm import bpe, chat, decontaminate, language, quality, toxicity
+from netsift.llm import bpe, chat, decontaminate, language, neardup, quality, toxicity
 from netsift.llm.common import held_out, score, table
 
 QUERIES = {}
@@ -39,6 +39,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@_query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -1 with control strings in its texts, formatted and read back."""
