@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.llm import bpe, chat, decontaminate, language, neardup, quality, toxicity
+from netsift.llm import bpe, chat, decontaminate, language, neardup, paragraphs, quality, toxicity
 from netsift.llm.common import held_out, score, table
 
 QUERIES = {}
@@ -24,6 +24,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@_query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents: each paragraph to remove, and the one of another document that stays."""
+    found = paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "pos", "n_words", "run_words", "component", F.col("kept_doc").alias("kept_doc_id"), "kept_pos")
+
+
 def _labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """Texts and labels of the rows that may be learnt from."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), label).where(F.col(label).isNotNull() & ~held_out("_id"))
