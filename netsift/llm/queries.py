@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.llm import bpe, chat, decontaminate, language, neardup, paragraphs, quality, toxicity
+from netsift.llm import bpe, chat, decontaminate, language, neardup, neighbours, paragraphs, quality, toxicity
 from netsift.llm.common import held_out, score, table
 
 QUERIES = {}
@@ -70,6 +70,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_ids(ids)
 
 
+@_query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows, by cosine, of every row whose id is divisible by 50."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 @_query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document."""
