@@ -80,7 +80,11 @@ def _join_split_documents(labels: DataFrame, owned: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns; repeated rows of a kept id stay one row."""
-    found = near_duplicates(docs, shingle, num, den, id_col=id_col, text_col=text_col)
+    """One document of each group, with all its columns; of rows that share an id one stays."""
+    found = stage(near_duplicates(docs, shingle, num, den, id_col=id_col, text_col=text_col), "near-duplicates")
     dropped = found.where(~F.col("kept")).select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    kept = docs.join(dropped, id_col, "left_anti")
+    twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if twice.isEmpty():
+        return kept
+    return kept.join(twice, id_col, "left_anti").unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col]))
