@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import slices
+from netsift.llm.common import bound_batches, slices
 
 CACHE_PIECES = 400_000
 CACHE_PAIRS = 1_000_000
@@ -247,7 +247,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
+    out = bound_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
         run, f"id {id_type}, n_tokens long, ids array<int>, decoded binary"
     )
     return out.withColumnRenamed("id", id_col)

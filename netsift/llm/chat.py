@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netsift.llm.common import bound_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN = re.compile(r"<(\\*)\|")
 _SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.S)
@@ -91,7 +93,7 @@ def fold_events(events: DataFrame) -> DataFrame:
             yield pd.DataFrame([(*current, first, role, "".join(parts))], columns=["conv_id", "message", "first_seq", "role", "text"])
 
     return (
-        events.select(*EVENT_COLUMNS)
+        bound_batches(events).select(*EVENT_COLUMNS)
         .repartition("conv_id", "message")
         .sortWithinPartitions("conv_id", "message", "seq", "kind", "text")
         .mapInPandas(run, f"conv_id {conv}, message {message}, first_seq {seq}, role string, text string")

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 FOLD = str.maketrans(UPPER, LOWER)
-BROADCAST_BYTES = 64 << 20
-#: rows of one Arrow batch are cut at this size, so that very long texts do not meet in one batch
-BATCH_CHARS = 16 << 20
+#: Arrow batches to Python workers are cut at this size, so that long texts do not meet in one batch
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,11 +34,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """The same table; where the session sets no bound on the bytes of an Arrow batch, it gets one."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name, str(2**31 - 1)).rstrip("bB")) >= 2**31 - 1:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    bound_batches(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,7 +68,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most about ``rows`` rows, chosen by a hash of the key; the same rows in every run."""
-    n = df.count()
+    n = bound_batches(df).count()
     if n <= rows:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
@@ -77,11 +85,6 @@ def slices(frames: Iterator[pd.DataFrame], text: str, chars: int = 1 << 21) -> I
             yield piece.reset_index(drop=True)
 
 
-def spread(df: DataFrame, n: int | None = None) -> DataFrame:
-    """More, smaller tasks for work in Python (a hash of all columns is not needed: round robin)."""
-    return df.repartition(n or df.sparkSession.sparkContext.defaultParallelism * 2)
-
-
 def score(docs: DataFrame, model, text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
     """The chosen columns of every row with the ``score`` of its whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -92,4 +95,4 @@ def score(docs: DataFrame, model, text_col: str = "text", columns: tuple[str, ..
             yield frame[kept].assign(score=shared.value.scores(frame["_text"].tolist()))
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text")).mapInPandas(run, f"{fields}, score double")
+    return bound_batches(docs).select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text")).mapInPandas(run, f"{fields}, score double")

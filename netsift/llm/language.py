@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import bounded_sample, slices
+from netsift.llm.common import bound_batches, bounded_sample, slices
 
 WORD = re.compile(r"[^\W\d_]{1,32}")
 UND = "und"
@@ -231,4 +231,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pd.concat([frame, labels], axis=1)
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInPandas(run, f"{fields}, lang_pred string, score double, span_words array<int>, span_langs array<string>")
+    return bound_batches(docs).select(*[F.col(f"`{c}`") for c in kept]).mapInPandas(run, f"{fields}, lang_pred string, score double, span_words array<int>, span_langs array<string>")

@@ -5,11 +5,12 @@ shingle hashes). Equal bands of minima make candidates, the share of equal minim
 drops those that are far below the threshold, and the full sets decide.
 
 ``similar_groups`` gives the components of *all* confirmed links without writing
-all pairs of a bucket: in each round every bucket compares its members with one
-leader, links found so far merge members into components, and only buckets that
-still hold more than one component stay open. What is left is compared in blocks,
-members of smaller components against all others, by signature inside the task;
-only pairs that pass leave it.
+all pairs of a bucket: first every bucket compares its members with one leader,
+links found so far merge members into components, and only buckets that still
+hold more than one component stay open. What is left there is compared in blocks,
+members of smaller components against all others, by signature and then by full
+set inside the task; only links leave it. Where that would be too much work,
+further rounds with other leaders come first.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from netsift.llm.common import stage
 from netsift.llm.components import connected_components
 
 LEADER_ROUNDS = 5
+#: signature comparisons per item at which another leader is tried before the blocks
+MOST_COMPARISONS = 2000
 BLOCK = 512
 LEFT_BLOCK = 4096
 
@@ -147,35 +150,40 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: in
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct()
 
 
-def _residual_pairs(open_members: DataFrame, items: DataFrame, num: int, den: int, floor: int) -> DataFrame:
-    """Near pairs across components inside each open bucket, in blocks."""
-    per = open_members.groupBy("key", "c").agg(F.count("*").alias("n_c"))
-    shape = per.groupBy("key").agg(F.sum("n_c").alias("total"), F.max_by("c", "n_c").alias("major"), F.max("n_c").alias("most")).select(
-        "key",
-        "major",
-        F.ceil(F.col("total") / BLOCK).cast("int").alias("right_blocks"),
-        F.ceil((F.col("total") - F.col("most")) / LEFT_BLOCK).cast("int").alias("left_blocks"),
-    )
-    rows = open_members.join(shape, "key").join(items.select("id", "n", "sig"), "id")
-    some = F.xxhash64("id", "key")
+def _block_links(open_members: DataFrame, shape: DataFrame, signed: DataFrame, texts: DataFrame, shingle: int, num: int, den: int, floor: int) -> DataFrame:
+    """Confirmed links across components inside each open bucket, in blocks. A pair is looked at in the first bucket that it shares."""
+    blocks = shape.select("key", "major", F.ceil(F.col("total") / BLOCK).cast("int").alias("right_blocks"), F.ceil((F.col("total") - F.col("most")) / LEFT_BLOCK).cast("int").alias("left_blocks"))
+    rows = open_members.join(blocks, "key").join(signed.join(texts, "id"), "id")
+    own = ["key", "id", "c", "n", "keys", "sig", "text"]
     left = rows.where("c <> major").select(
-        "key", "id", "c", "n", "sig", F.lit(True).alias("minor"), F.pmod(some, "left_blocks").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("rb")
+        *own, F.lit(True).alias("minor"), F.pmod(F.xxhash64("id", "key"), "left_blocks").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("rb")
     )
     right = rows.select(
-        "key", "id", "c", "n", "sig", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("lb"), F.pmod(F.xxhash64("key", "id"), "right_blocks").alias("rb")
+        *own, F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("lb"), F.pmod(F.xxhash64("key", "id"), "right_blocks").alias("rb")
     )
 
     def compare(group: pd.DataFrame) -> list[tuple[int, int]]:
         minor = group["minor"].to_numpy()
+        if minor.all() or not minor.any():
+            return []
         sig = np.frombuffer(b"".join(group["sig"]), dtype=np.uint8).reshape(len(group), -1)
-        ids, comp, n = (group[c].to_numpy() for c in ("id", "c", "n"))
-        r_ids, r_comp, r_n, r_sig = ids[~minor], comp[~minor], n[~minor], sig[~minor]
+        keys = np.stack(group["keys"].to_numpy())
+        band = int(np.flatnonzero(keys[0] == group["key"].iloc[0])[0])
+        ids, comp, n, texts = (group[c].to_numpy() for c in ("id", "c", "n", "text"))
+        sets: dict[int, set] = {}
+
+        def set_of(i: int) -> set:
+            if ids[i] not in sets:
+                sets[ids[i]] = shingle_set(words(texts[i]), shingle)
+            return sets[ids[i]]
+
+        others = np.flatnonzero(~minor)
         out = []
         for i in np.flatnonzero(minor):
-            fits = (r_comp != comp[i]) & (np.minimum(r_n, n[i]) * den >= np.maximum(r_n, n[i]) * num)
-            at = np.flatnonzero(fits)
-            at = at[(r_sig[at] == sig[i]).sum(axis=1) >= floor]
-            out += [(min(ids[i], x), max(ids[i], x)) for x in r_ids[at]]
+            at = others[(comp[others] != comp[i]) & (np.minimum(n[others], n[i]) * den >= np.maximum(n[others], n[i]) * num)]
+            at = at[(sig[at] == sig[i]).sum(axis=1) >= floor]
+            at = at[~(keys[at, :band] == keys[i, :band]).any(axis=1)]
+            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in at if enough(set_of(i), set_of(j), num, den)]
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +199,8 @@ def _residual_pairs(open_members: DataFrame, items: DataFrame, num: int, den: in
         if held is not None and len(held):
             yield pd.DataFrame(sorted(set(compare(held))), columns=["a", "b"])
 
-    both = left.select("key", "lb", "rb", "minor", "id", "c", "n", "sig").union(right.select("key", "lb", "rb", "minor", "id", "c", "n", "sig"))
+    placed = [*own, "minor", "lb", "rb"]
+    both = left.select(*placed).union(right.select(*placed))
     return both.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb").mapInPandas(run, "a long, b long").distinct()
 
 
@@ -206,35 +215,44 @@ def similar_groups(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     multi = exploded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     members = stage(exploded.join(multi, "key").distinct(), "bucket-members")
     ids = stage(members.select("id").distinct(), "bucket-ids")
-    signed = stage(items.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "bucket-signatures")
+    signed = stage(items.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "bucket-signatures")
     texts = stage(texts_of(ids), "bucket-texts")
     floor = bands.floor(num / den)
-    n_items = ids.count()
+    n_items = signed.count()
     links, labels = None, None
     for turn in range(LEADER_ROUNDS + 1):
-        labelled = members.withColumn("c", F.col("id")) if labels is None else members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        leader = F.min_by(F.struct("id", "c"), F.when(F.lit(turn) == 0, F.col("id")).otherwise(F.xxhash64("id", F.lit(turn))))
-        buckets = stage(
-            labelled.groupBy("key").agg(leader.alias("leader"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "leader", "size"), "open-buckets"
-        )
-        work = buckets.agg(F.sum(F.col("size") * F.col("size"))).first()[0]
-        if not work:
-            break
-        inside = labelled.join(buckets, "key")
-        if turn == LEADER_ROUNDS or turn and work <= 50 * n_items:
-            near = _residual_pairs(inside.select("key", "id", "c"), signed, num, den, floor)
-            last = True
+        if labels is None:
+            labelled = members.withColumn("c", F.col("id"))
+            buckets = members.groupBy("key").agg(F.min("id").alias("leader")).withColumn("leader_c", F.col("leader"))
+            blocks = False
+        else:
+            labelled = stage(members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "labelled-members")
+            per = labelled.groupBy("key", "c").agg(F.count("*").alias("n_c"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("first"))
+            shape = per.groupBy("key").agg(
+                F.sum("n_c").alias("total"), F.max("n_c").alias("most"), F.max_by("c", F.struct("n_c", "c")).alias("major"), F.min_by(F.struct("first.id", "c"), "first").alias("leader")
+            )
+            shape = stage(shape.where("most < total AND total > 2"), "open-buckets")
+            work = shape.agg(F.sum((F.col("total") - F.col("most")) * F.col("total"))).first()[0]
+            if not work:
+                break
+            blocks = turn == LEADER_ROUNDS or work <= MOST_COMPARISONS * n_items
+            buckets = shape.select("key", F.col("leader.id").alias("leader"), F.col("leader.c").alias("leader_c"))
+        if blocks:
+            inside = labelled.join(shape.select("key"), "key").select("key", "id", "c")
+            found = _block_links(inside, shape, signed, texts, shingle, num, den, floor)
         else:
-            pairs = inside.where("c <> leader.c").select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).distinct()
-            near = _near_pairs(pairs, signed, num, den, floor)
-            last = False
-        found = stage(_confirm(near, texts, shingle, num, den), "links")
-        links = found if links is None else links.union(found)
-        edges = found if labels is None else found.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        labels = stage(connected_components(edges), "components")
-        if last:
+            pairs = labelled.join(buckets, "key").where("c <> leader_c").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+            found = _confirm(_near_pairs(pairs, signed, num, den, floor), texts, shingle, num, den)
+        found = stage(found, "links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            edges = found if labels is None else found.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+            labels = stage(connected_components(edges), "components")
+        elif labels is None:
+            labels = found.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        if blocks:
             break
-    if labels is None:
+    if links is None:
         empty = items.sparkSession.createDataFrame([], "a long, b long")
         return empty.select(F.col("a").alias("id"), F.col("b").alias("component")), empty
     return labels, links
