@@ -212,7 +212,7 @@ def calibrate(index: Index, vectors: DataFrame, k: int, probes: int, recall: flo
     dist = np.sqrt(np.maximum(2 - 2 * q @ index.centres.T, 0))
     row = true["query"].map({i: r for r, i in enumerate(asked["id"])}).to_numpy()
     needed = np.array([dist[r, own].min() / max(dist[r].min(), 1e-9) for r, own in zip(row, lists, strict=True)])
-    index.ratio = float(np.quantile(needed, recall)) * 1.005
+    index.ratio = max(1.0, float(np.quantile(needed, recall))) * 1.005
     within = (dist <= index.ratio * dist.min(axis=1, keepdims=True)).sum(axis=1)
     index.reach = int(min(len(index.centres), np.ceil(within.max() * 1.25) + 16))
 

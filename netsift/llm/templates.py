@@ -136,7 +136,8 @@ class Page:
             label, other = names_of(match.group(4))
             here = digest(path, name, label) if name not in INLINE and name != "p" else path
             self.tags.append(digest(path, "tag", name, label))
-            self.parents[here] = path
+            if here != path:
+                self.parents[here] = path
             if name in VOID:
                 continue
             if name in MAIN or "main" in label.lower().split():
@@ -155,13 +156,14 @@ class Page:
                 return
 
     def text(self, template: frozenset[int], main_paths: frozenset[int]) -> str:
-        """Content of the main slots, block by block, without the template's own text runs.
+        """Content of the main slots, block by block.
 
-        Where these are most of the main text the host's pages are copies of one another, and nothing is taken for template.
+        A page that names its article has its slots there, and all their text is content. Elsewhere the template's
+        own text runs are left out, unless they are most of the text: then the host's pages are copies of one another.
         """
         has_main = any(run[4] and not run[3] for run in self.runs)
         runs = [r for r in self.runs if not r[3] and (r[4] if has_main else not main_paths or self._inside(r[0], main_paths))]
-        own = [r for r in runs if r[1] not in template]
+        own = runs if has_main else [r for r in runs if r[1] not in template]
         if 2 * sum(len(r[2].strip()) for r in own) < sum(len(r[2].strip()) for r in runs):
             own = runs
         blocks: dict[int, list[str]] = {}
@@ -171,11 +173,11 @@ class Page:
         return " ".join(b for b in whole if b)
 
     def _inside(self, path: int, among: frozenset[int]) -> bool:
-        while path:
-            if path in among:
-                return True
+        while path not in among:
+            if not path:
+                return False
             path = self.parents.get(path, 0)
-        return False
+        return True
 
 
 def host_of(url: str | None) -> str:
