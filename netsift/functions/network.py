@@ -151,6 +151,16 @@ def ipv6_to_longs(ip: str | Column) -> Column:
     return F.when(ip.contains(":"), longs)
 
 
+def ip_value(ip: str | Column) -> Column:
+    """The number of an IPv4 or IPv6 address as a double (exact below 2^53); 0 for anything else."""
+
+    def unsigned(x: Column) -> Column:
+        return x.cast("double") + F.when(x < 0, float(1 << 64)).otherwise(0.0)
+
+    wide = let(ipv6_to_longs(ip), lambda a: unsigned(a["hi"]) * float(1 << 64) + unsigned(a["lo"]))
+    return F.coalesce(ip_to_long(ip).cast("double"), wide, F.lit(0.0))
+
+
 def is_ip(ip: str | Column) -> Column:
     """True for valid IPv4 or IPv6 text."""
     ip = _col(ip)

@@ -80,7 +80,9 @@ def drift_report(
     )
     enough = F.col("rows") >= min_rows
     lost = F.lit(performance).cast("double") < F.lit(baseline).cast("double") - threshold
-    return rows.join(F.broadcast(scores)).select(
+    # one row each: a scalar subquery instead of a join without a key
+    found = rows.withColumn("_s", scores.select(F.struct("_score", "_drifted")).scalar()).select("rows", "_s.*")
+    return found.select(
         "rows",
         F.coalesce(F.when(enough, F.col("_score")), F.lit(0.0)).alias("drift_score"),
         F.coalesce(enough & (F.col("_score") > threshold), F.lit(False)).alias("drift_detected"),

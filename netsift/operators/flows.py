@@ -165,7 +165,10 @@ def window_summary(
             .agg(*[F.count_if(F.col("_u.kind") == n).alias(n) for n in UNIQUES])
         )
         sizes = windowed.groupBy(*by).agg(*size_aggregates())
-        out = sizes.join(seen, by, "left").fillna(0, list(UNIQUES))
+        # null-safe: packets without a key are a group of their own
+        seen = seen.select(*[F.col(c).alias(f"_seen_{c}") for c in by], *UNIQUES)
+        on = [F.col(c).eqNullSafe(F.col(f"_seen_{c}")) for c in by]
+        out = sizes.join(seen, on, "left").drop(*[f"_seen_{c}" for c in by]).fillna(0, list(UNIQUES))
     return out.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *[
         c for c in out.columns if c not in by
     ])

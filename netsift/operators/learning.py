@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +98,7 @@ def balanced_sample(
         return df.where(F.lit(False))
     cut = order_values(split, {c: (lambda n: [size - 1]) for c in ("a", "n")})
     high = F.when(flag, F.lit(cut["a"][1][size - 1])).otherwise(F.lit(cut["n"][1][size - 1]))
-    return marked.where(flag.isNotNull() & (F.col("_h") <= high)).orderBy("_h").drop("_h")
+    return marked.where(flag.isNotNull() & (F.col("_h") <= high)).drop("_h")
 
 
 def labelling_metrics(df: DataFrame, is_anomaly: str = "is_anomaly", is_uncertain: str = "is_uncertain") -> DataFrame:
@@ -127,7 +128,8 @@ def refine_uncertain(
 
     The number of clusters (2..10) is the one with the best silhouette among
     those without a cluster below five rows. A cluster is anomalous when its
-    mean score is below the median of the cluster means.
+    mean score is below the median of the cluster means. Rows with a missing
+    feature stay as they are: uncertain, and without a cluster.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
@@ -137,10 +139,12 @@ def refine_uncertain(
     n = uncertain.count()
     if n <= 2 * min_samples_per_class:
         return uncertain.sparkSession.createDataFrame([], schema)
-    points = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(uncertain).persist()
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features])
+    rest = uncertain.where(~whole).withColumn("cluster", F.lit(None).cast("int"))
+    points = VectorAssembler(inputCols=list(features), outputCol="_x").transform(uncertain.where(whole)).persist()
     best, best_score, top = 2, -1.0, min(10, n // 10)
     if top < 2:
-        clustered = uncertain.withColumn("cluster", F.lit(0))
+        clustered = uncertain.where(whole).withColumn("cluster", F.lit(0))
     else:
         for k in range(2, top + 1):
             found = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(points).transform(points)
@@ -152,8 +156,12 @@ def refine_uncertain(
                 best, best_score = k, quality
         clustered = KMeans(k=best, seed=seed, featuresCol="_x", predictionCol="cluster").fit(points).transform(points).drop("_x")
     means = {r["cluster"]: r["m"] for r in clustered.groupBy("cluster").agg(F.avg(score).alias("m")).collect()}  # at most ten
-    ordered = sorted(means.values())
+    points.unpersist()
+    ordered = sorted(m for m in means.values() if m is not None)
+    if not ordered:
+        return clustered.unionByName(rest).select(*uncertain.columns, "cluster")
     middle = (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
-    low = [c for c, m in means.items() if m < middle]
+    low = [c for c, m in means.items() if m is not None and m < middle]
     flag: Column = F.col("cluster").isin(low) if low else F.lit(False)
-    return clustered.withColumns({"is_anomaly": flag, "is_uncertain": F.lit(False)}).select(*uncertain.columns, "cluster")
+    decided = clustered.withColumns({"is_anomaly": flag, "is_uncertain": F.lit(False)})
+    return decided.unionByName(rest).select(*uncertain.columns, "cluster")

@@ -47,8 +47,9 @@ def update_needed(
             )
         )
     )
-    # both sides are one row
-    one = state.join(F.broadcast(report)).withColumn("reasons", reasons)
+    # both sides are one row: a scalar subquery instead of a join without a key
+    seen = ["rows", "drift_detected", "performance_degradation"]
+    one = state.withColumn("_r", report.select(F.struct(*seen)).scalar()).select(*state.columns, "_r.*").withColumn("reasons", reasons)
     return one.select(
         (F.size("reasons") > 0).alias("update_needed"),
         "reasons",

@@ -139,7 +139,7 @@ def knn_join(
     for c, b in blocks.items():
         if b > 1:
             split = F.when(F.col("cell") == c, b).otherwise(split)
-    loads = {r["cell"]: math.ceil(r["count"] / block_rows) for r in sent.groupBy("cell").count().collect()} if n > block_rows else {}
+    loads = {r["cell"]: math.ceil(r["count"] / block_rows) for r in sent.groupBy("cell").count().collect()}
     groups = F.lit(1)
     for c, g in loads.items():
         if g > 1:

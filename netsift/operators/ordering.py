@@ -28,6 +28,8 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="checkpoints-")
@@ -42,6 +44,9 @@ def epoch_micros(ts: str | Column) -> Column:
 
 def event_micros(df: DataFrame, ts: str) -> Column:
     """As :func:`epoch_micros`; a number is read as seconds and rounded, not cut, to microseconds."""
+    if isinstance(df.schema[ts].dataType, T.IntegralType):
+        # whole seconds stay whole; numbers too large to be seconds in this range give NULL, not a failed job
+        return F.try_multiply(F.col(ts).cast("long"), F.lit(MICROS))
     if isinstance(df.schema[ts].dataType, T.NumericType):
         return F.round(F.col(ts).cast("double") * MICROS).cast("long")
     return epoch_micros(ts)

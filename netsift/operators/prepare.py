@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netsift.functions.network import ip_number
+from netsift.functions.network import ip_value
 from netsift.operators.ordering import ensure_checkpoints, quantiles, running_totals
 
 _NUMERIC = (T.NumericType,)
@@ -217,7 +217,7 @@ def prepare_flows(flows: DataFrame, protocols: Sequence[str] = ("TCP", "UDP", "I
     out = flows
     for c in ("src_ip", "dst_ip"):
         if c in out.columns:
-            out = out.withColumn(f"{c}_numeric", ip_number(c)).drop(c)
+            out = out.withColumn(f"{c}_numeric", ip_value(c)).drop(c)
     if "protocol" in out.columns:
         one_hot = {f"protocol_{p}": F.coalesce((F.col("protocol") == p).cast("int"), F.lit(0)) for p in protocols}
         out = out.withColumns(one_hot).drop("protocol")

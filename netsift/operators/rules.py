@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.network import in_networks
@@ -126,9 +128,14 @@ class PortRule(SignatureRule):
 
 
 def _is_regex(pattern: str) -> bool:
+    """Whether the engine that will run the pattern, Java's, accepts it."""
+    spark = SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
-    except re.error:
+        if spark is None:
+            re.compile(pattern)
+        else:
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (re.error, Py4JJavaError, IllegalArgumentException):
         return False
     return True
 

@@ -211,7 +211,9 @@ def seasonal_forecast(thresholds: DataFrame, steps: int, keys: Sequence[str] = (
     offset = F.col("position") - F.greatest(F.col("_n") - period, F.lit(0)) - 1
     # one entry per phase
     seasons = seasons.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(offset.alias("o"), F.col("seasonal").alias("s")))).alias("_season"))
-    ahead = last.join(seasons, keys).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    seasons = seasons.select(*[F.col(c).alias(f"_s_{c}") for c in keys], "_season")
+    same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in keys]
+    ahead = last.join(seasons, same).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     length = F.least(F.lit(period), F.col("_n"))
     season = F.try_element_at("_season", ((F.col("step") - 1) % length).cast("long"))
     enough = F.col("_n") >= 2 * period

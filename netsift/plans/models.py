@@ -25,7 +25,7 @@ def points(spark, sf_dir):
 @query("j1_isolation_forest")
 def isolation_forest(spark, sf_dir):
     df = vectors(spark, sf_dir)
-    fitted = M.get_detector("isolation_forest", features=["embedding"], id_col="vec_id", n_trees=50).fit(df)
+    fitted = M.get_detector("isolation_forest", features=["embedding"], id_col="vec_id").fit(df)
     return fitted.transform(df).select("vec_id", F.round("score", 6).alias("score"), "is_anomaly")
 
 
@@ -67,7 +67,7 @@ def dbscan_score(spark, sf_dir):
     return fitted.transform(new).select("s_suppkey", F.round("score", 6).alias("score"), "is_anomaly")
 
 
-_LOF = """e AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), tr AS MATERIALIZED (SELECT * FROM e WHERE id % 2 = 0),
+_LOF = """e AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), tr AS MATERIALIZED (SELECT * FROM e),
   pairs AS MATERIALIZED (SELECT q, p, d FROM (SELECT a.id AS q, b.id AS p, list_distance(a.x, b.x) AS d,
     row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS r FROM tr a, tr b WHERE a.id <> b.id) WHERE r <= 20),
   kd AS MATERIALIZED (SELECT q AS id, max(d) AS kd FROM pairs GROUP BY 1),
@@ -83,14 +83,14 @@ _LOF = """e AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM
 @query("j5_lof", f"WITH {_LOF} SELECT id AS vec_id, round(score, 5) AS score, score > 0 AS is_anomaly FROM s")
 def lof(spark, sf_dir):
     df = vectors(spark, sf_dir)
-    fitted = M.Lof(["embedding"], "vec_id", 20, 0.1).fit(df.where("vec_id % 2 = 0"))
+    fitted = M.Lof(["embedding"], "vec_id", 20, 0.1).fit(df)
     return fitted.transform(df).select("vec_id", F.round("score", 5).alias("score"), "is_anomaly")
 
 
 @query("j6_one_class_svm")
 def one_class_svm(spark, sf_dir):
     df = vectors(spark, sf_dir)
-    fitted = M.OneClassSvm(["embedding"], steps=10).fit(df)
+    fitted = M.OneClassSvm(["embedding"]).fit(df)
     return fitted.transform(df).select("vec_id", F.round("score", 6).alias("score"), "is_anomaly")
 
 
@@ -100,8 +100,8 @@ def train_and_score(spark, sf_dir):
     p = points(spark, sf_dir)
     out = None
     for kind, options in (
-        ("isolation_forest", {"features": ["a", "b", "c"], "id_col": "c_custkey", "n_trees": 25}),
-        ("one_class_svm", {"features": ["a", "b", "c"], "steps": 5}),
+        ("isolation_forest", {"features": ["a", "b", "c"], "id_col": "c_custkey"}),
+        ("one_class_svm", {"features": ["a", "b", "c"]}),
     ):
         part = M.score(M.train(p, kind, **options), p).select(F.lit(kind).alias("detector"), "c_custkey", F.round("score", 6).alias("score"), "is_anomaly")
         out = part if out is None else out.unionByName(part)

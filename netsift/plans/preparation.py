@@ -138,10 +138,10 @@ def preprocess(spark, sf_dir):
     "c10_prepare_flows",
     with_packets("""SELECT coalesce(src_port % 4, 0) AS src_port, coalesce(dst_port, 0) AS dst_port, count(*) AS packet_count,
       CAST(protocol = 'TCP' AS INT) AS "protocol_TCP", CAST(protocol = 'UDP' AS INT) AS "protocol_UDP", CAST(protocol = 'ICMP' AS INT) AS "protocol_ICMP",
-      CAST(split_part(src_ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(src_ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(src_ip, '.', 3) AS BIGINT) * 256
-        + CAST(split_part(src_ip, '.', 4) AS BIGINT) AS src_ip_numeric,
-      CAST(split_part(dst_ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(dst_ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(dst_ip, '.', 3) AS BIGINT) * 256
-        + CAST(split_part(dst_ip, '.', 4) AS BIGINT) AS dst_ip_numeric
+      CAST(CAST(split_part(src_ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(src_ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(src_ip, '.', 3) AS BIGINT) * 256
+        + CAST(split_part(src_ip, '.', 4) AS BIGINT) AS DOUBLE) AS src_ip_numeric,
+      CAST(CAST(split_part(dst_ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(dst_ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(dst_ip, '.', 3) AS BIGINT) * 256
+        + CAST(split_part(dst_ip, '.', 4) AS BIGINT) AS DOUBLE) AS dst_ip_numeric
     FROM packets GROUP BY src_ip, dst_ip, protocol, 1, 2"""),
 )
 def prepare_flows(spark, sf_dir):

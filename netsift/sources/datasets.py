@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "bmp"]
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """CSV (with header) or parquet, by extension; anything else is an error."""
+def read_dataset(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """CSV (with header) or parquet, by extension; anything else is an error.
+
+    Without a ``schema`` the types of a CSV file are inferred, which reads it once more.
+    """
     lower = path.lower()
     if lower.endswith(".csv"):
-        return spark.read.csv(path, header=True, inferSchema=True)
+        return spark.read.csv(path, header=True, schema=schema) if schema else spark.read.csv(path, header=True, inferSchema=True)
     if lower.endswith(".parquet"):
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
     raise ValueError(f"unsupported file format: {path}")
 
 

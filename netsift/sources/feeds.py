@@ -67,14 +67,13 @@ def parse_pulses(pulses: DataFrame, feed: str) -> DataFrame:
     )
 
 
-def parse_blacklist(entries: DataFrame, feed: str, min_confidence: int = 90, limit: int = 10000) -> DataFrame:
-    """The most confident entries (``ip``, ``confidence``); ``limit`` is the feed's own size."""
-    return (
+def parse_blacklist(entries: DataFrame, feed: str, min_confidence: int = 90, limit: int | None = None) -> DataFrame:
+    """Confident entries (``ip``, ``confidence``): all, or the ``limit`` most confident ones."""
+    confident = (
         entries.where((F.col("confidence") >= min_confidence) & F.col("ip").isNotNull())
-        .orderBy(F.col("confidence").desc(), "ip")
-        .limit(limit)
         .select(F.lit(feed).alias("feed"), F.lit("ip").alias("indicator_type"), F.col("ip").alias("value"), "confidence")
     )
+    return confident if limit is None else confident.orderBy(F.col("confidence").desc(), "value").limit(limit)
 
 
 def save_feed(indicators: DataFrame, path: str, now: Column) -> None:

@@ -147,11 +147,17 @@ def test_fan_out_survives_a_failing_sink(spark, folder, tmp_path):
 
     alerts = R.check_signatures(P.packet_stream(spark, folder, max_files=1), [R.PortRule("P", "ssh", port_list=[22])])
     sinks = {"broken": broken, "json": S.json_sink(str(tmp_path / "out"))}
-    query = S.fan_out(alerts, sinks, str(tmp_path / "cp"), lambda batch, name, error: failed.append(name))
+    query = S.fan_out(
+        alerts, sinks, str(tmp_path / "cp"), lambda batch, name, error: failed.append(name), dead_letter=lambda name: S.json_sink(str(tmp_path / "dead" / name))
+    )
     query.awaitTermination(120)
     assert query.exception() is None
     assert set(failed) == {"broken"}
     assert spark.read.json(str(tmp_path / "out")).count() == 20
+    assert spark.read.json(str(tmp_path / "dead" / "broken")).count() == 20
+    strict = S.fan_out(alerts, sinks, str(tmp_path / "cp-strict"))
+    with pytest.raises(Exception, match="disk full"):
+        strict.awaitTermination(120)
 
 
 def test_enrichment_reloads_the_feed(spark, folder, tmp_path):
