@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import stage
+from netsift.llm.common import release, stage
 from netsift.llm.components import connected_components
 
 LEADER_ROUNDS = 5
@@ -219,13 +219,15 @@ def similar_groups(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     texts = stage(texts_of(ids), "bucket-texts")
     floor = bands.floor(num / den)
     n_items = signed.count()
-    links, labels = None, None
+    links, labels, shape = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
         if labels is None:
             labelled = members.withColumn("c", F.col("id"))
             buckets = members.groupBy("key").agg(F.min("id").alias("leader")).withColumn("leader_c", F.col("leader"))
             blocks = False
         else:
+            if turn > 1:
+                release(labelled, shape)
             labelled = stage(members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "labelled-members")
             per = labelled.groupBy("key", "c").agg(F.count("*").alias("n_c"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("first"))
             shape = per.groupBy("key").agg(
@@ -252,6 +254,7 @@ def similar_groups(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
             labels = found.select(F.col("a").alias("id"), F.col("b").alias("component"))
         if blocks:
             break
+    release(members, ids, signed, texts, *([labelled, shape] if shape is not None else []))
     if links is None:
         empty = items.sparkSession.createDataFrame([], "a long, b long")
         return empty.select(F.col("a").alias("id"), F.col("b").alias("component")), empty

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import slices, stage
+from netsift.llm.common import release, slices, stage
 from netsift.llm.components import connected_components
 from netsift.llm.minhash import Bands, shingle_hashes, similar_groups, words
 
@@ -64,6 +64,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, num: int = 85, den: int =
     reps = owned.where("id = rep").select("id").distinct()
     items = signed.where("n > 0").select("id", "n", "keys", "sig").join(reps, "id", "left_semi")
     labels, _ = similar_groups(items, lambda ids: named.join(ids, "id", "left_semi"), bands, shingle, num, den)
+    release(signed)
     labels = _join_split_documents(labels, owned)
     out = owned.withColumnRenamed("id", "doc").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.llm.common import slices, stage
+from netsift.llm.common import release, slices, stage
 from netsift.llm.minhash import Bands, shingle_hashes, similar_groups, words
 
 
@@ -99,7 +99,7 @@ def repeated_paragraphs(
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
     found = stage(paragraphs(named, shingle, bands, min_paragraph), "paragraphs")
     items = found.where("sig IS NOT NULL").select("id", "n", "keys", "sig")
-    places = found.select("doc", "copy", "pos", "idx", "n_words", "id")
+    places = stage(found.select("doc", "copy", "pos", "idx", "n_words", "id"), "paragraph-places")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """One text of each paragraph, read again from the documents that hold its first place."""
@@ -114,7 +114,7 @@ def repeated_paragraphs(
         )
 
     labels, _ = similar_groups(items, texts_of, bands, shingle, num, den)
-    labels = stage(labels, "paragraph-groups")
+    release(found)
     grouped = places.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     firsts = (
         grouped.groupBy("component")
