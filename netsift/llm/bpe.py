@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from netsift.llm.common import bound_batches, slices
 
-CACHE_PIECES = 400_000
-CACHE_PAIRS = 1_000_000
+CACHE_PIECES = 250_000
+CACHE_PAIRS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -154,6 +154,7 @@ class Model:
         if not len(self.languages) or not counts.sum():
             return out
         word, vocabulary = pd.factorize(np.array([w for words in per_text for w in words], dtype=object))
+        del per_text
         vocabulary = list(vocabulary)
         path = self.paths(self.word_scores(vocabulary), word, counts)
         letters = np.fromiter(map(len, vocabulary), dtype=np.int64, count=len(vocabulary))[word]
@@ -226,7 +227,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     kept = [c for c in docs.columns if c not in new]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, text_col, 1 << 23):
+        for frame in slices(frames, text_col, 3 << 20):
             labels = shared.value.label(frame[text_col].tolist())
             yield pd.concat([frame, labels], axis=1)
 
