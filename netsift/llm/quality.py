@@ -33,13 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import bounded_sample, slices
+from netsift.llm.common import bound_batches, bounded_sample, slices
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << 13
 DIM = 32
 NONZERO = 4
-BLOCK = 256
+BLOCK = 64
 PROPORTIONS = 6
 
 
@@ -70,8 +70,8 @@ def lay_out(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Sums of the neighbours' index vectors for every bucket, over all documents.
 
-    Each task adds its texts into one table and hands it over in blocks; Spark adds the blocks. The
-    result has a fixed size.
+    Each task adds its texts into one table and hands it over in blocks, which are added block by
+    block. The result has a fixed size.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,20 +93,27 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 total[:, d] += np.bincount(right, weights=times * index[left, d], minlength=BUCKETS)
         if used:
             for b in range(0, BUCKETS, BLOCK):
-                yield pd.DataFrame({"block": [b], "sums": [total[b : b + BLOCK].ravel()]})
+                yield pd.DataFrame({"block": [b], "sums": [total[b : b + BLOCK].ravel().astype(np.float32)]})
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for block, sums in zip(frame["block"], frame["sums"], strict=True):
+                held[block] = held.get(block, 0) + np.asarray(sums, dtype=np.float64)
+        if held:
+            yield pd.DataFrame({"block": list(held), "sums": list(held.values())})
 
     blocks = (
-        docs.select(F.col(text_col).alias("text"))
-        .mapInPandas(count, "block int, sums array<double>")
-        .select("block", F.posexplode("sums").alias("pos", "x"))
-        .where("x <> 0")
-        .groupBy("block", "pos")
-        .agg(F.sum("x").alias("x"))
+        bound_batches(docs).select(F.col(text_col).alias("text"))
+        .mapInPandas(count, "block int, sums array<float>")
+        .repartition("block")
+        .mapInPandas(add, "block int, sums array<double>")
         .toPandas()  # buckets x dim numbers
     )
-    out = np.zeros(BUCKETS * DIM)
-    out[blocks["block"].to_numpy(dtype=np.int64) * DIM + blocks["pos"].to_numpy(dtype=np.int64)] = blocks["x"].to_numpy()
-    return out.reshape(BUCKETS, DIM)
+    out = np.zeros((BUCKETS, DIM))
+    for block, sums in zip(blocks["block"], blocks["sums"], strict=True):
+        out[block : block + BLOCK] = np.asarray(sums).reshape(-1, DIM)
+    return out
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
