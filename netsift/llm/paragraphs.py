@@ -12,6 +12,16 @@ What counts as a passage is decided per document: a run of neighbouring repeats
 ``min_words`` words is removed, so that a common heading or licence line in an
 otherwise new text stays.
 
+Passages that keep no line breaks come second (``repeated_spans``). Places of a text
+are chosen by its words alone (minima of hashed word runs over a moving window), so
+texts that share a run of 23 words share a place in it, wherever their lines break.
+Each place leads to the first document with it, and so does each three neighbouring
+places together; both texts are then compared word by word outwards from there, over
+single changed, missing or added words. A stretch of more than ``span_words`` words,
+four fifths of them equal, is a passage, and the words of it that the paragraphs have
+left are cut. Whole lines too short to be paragraphs stay where fewer than
+``min_words`` words are left together.
+
 Edge cases: null and empty texts have no paragraphs; repeats inside one document
 stay; rows that share an id and a text are one document, those that share only the
 id are told apart by a hash of the text; rows without an id are left alone.
@@ -19,6 +29,7 @@ id are told apart by a hash of the text; rows without an id are left alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,17 +139,179 @@ def repeated_paragraphs(
     return runs.where(F.col("run_words") >= min_words).select("doc", "copy", "pos", "n_words", "run_words", "component", "kept_doc", "kept_pos")
 
 
+GRAM, SPREAD, JOINED = 8, 16, 3
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _anchors(tokens: list[bytes]) -> list[int]:
+    """Places whose run of ``GRAM`` words has the least hash of some ``SPREAD`` neighbouring runs."""
+    hashes, _ = shingle_hashes([tokens], GRAM)
+    if len(hashes) <= SPREAD:
+        return [int(hashes.argmin())]
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, SPREAD)
+    return np.unique(windows.argmin(axis=1) + np.arange(len(windows))).tolist()
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """``(key, doc, copy, at, pos)``: chosen places of each text, alone and with the places that follow; ``at`` counts words."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in slices(frames, "text"):
+            rows = []
+            for doc, copy, text in frame[["doc", "copy", "text"]].itertuples(index=False, name=None):
+                lines = [words(line) for line in (text or "").split("\n")]
+                tokens = [w for line in lines for w in line]
+                if len(tokens) < GRAM:
+                    continue
+                line_of = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
+                at = _anchors(tokens)
+                names = [xxhash.xxh3_64_intdigest(b" ".join(tokens[i : i + GRAM])) for i in at]
+                for k, i in enumerate(at):
+                    rows.append((names[k] - (1 << 63), doc, copy, i, int(line_of[i])))
+                    if k + JOINED <= len(at):
+                        joined = xxhash.xxh3_64_intdigest(np.array(names[k : k + JOINED], dtype=np.uint64).tobytes())
+                        rows.append((joined - (1 << 63), doc, copy, i, int(line_of[i])))
+            yield pd.DataFrame(rows, columns=["key", "doc", "copy", "at", "pos"])
+
+    return docs.mapInPandas(run, "key long, doc long, copy long, at int, pos int")
+
+
+def _extend(a: list[bytes], b: list[bytes], i: int, j: int, step: int, gap: int = 3, equal: int = 4, cost: int = 4) -> tuple[int, int, int]:
+    """From places ``i`` and ``j`` on: words of a and b, and equal words, up to the best score (one a word, less ``cost`` an edit)."""
+    start_i, start_j, same, edits, score = i, j, 0, 0, 0
+    best, ends = 0, (0, 0, 0)
+    end_a, end_b = (len(a), len(b)) if step > 0 else (-1, -1)
+    while True:
+        while i != end_a and j != end_b and a[i] == b[j]:
+            i, j, same = i + step, j + step, same + 1
+        score = same - cost * edits
+        if score > best:
+            best, ends = score, (abs(i - start_i), abs(j - start_j), same)
+        if score < best - 5 * cost:
+            return ends
+        for total in sorted(((x, y) for x in range(gap + 1) for y in range(gap + 1) if x or y), key=lambda e: (max(e), sum(e))):
+            x, y = i + step * total[0], j + step * total[1]
+            if all(0 <= x + step * k < len(a) and 0 <= y + step * k < len(b) and a[x + step * k] == b[y + step * k] for k in range(equal)):
+                i, j, edits = x, y, edits + max(total)
+                break
+        else:
+            return ends
+
+
+def shared_spans(a: list[bytes], b: list[bytes], seeds: list[tuple[int, int]], more_than: int) -> list[tuple[int, int, int]]:
+    """``(from, to, from in b)``: stretches of over ``more_than`` words of a that b holds too, found from common places."""
+    tried: list[tuple[int, int, int]] = []
+    found = []
+    for i, j in sorted(set(seeds)):
+        if any(lo <= i < hi and abs((j - i) - shift) <= 3 + (hi - lo) // 5 for lo, hi, shift in tried[-50:]) or a[i : i + GRAM] != b[j : j + GRAM]:
+            continue
+        back_a, back_b, _ = _extend(a, b, i - 1, j - 1, -1) if i and j else (0, 0, 0)
+        on_a, _, _ = _extend(a, b, i, j, 1)
+        tried.append((i - back_a, i + on_a, j - i))
+        if back_a + on_a > more_than:
+            found.append((i - back_a, i + on_a, j - back_b))
+    return found
+
+
+def _pieces(text: str, spans: list[tuple[int, int]], gone: set[int], min_paragraph: int, min_words: int) -> list[tuple[int, int, int, int, int]]:
+    """``(pos, char_from, char_to, n_words, first word)`` to cut: parts of lines inside the spans, without lines that are gone already."""
+    lines, at, offset = [], 0, 0
+    for pos, line in enumerate(text.split("\n")):
+        found = [(m.start() + offset, m.end() + offset) for m in _WORD.finditer(line)]
+        lines.append((pos, at, found, offset + len(line)))
+        at, offset = at + len(found), offset + len(line) + 1
+    out = []
+    for lo, hi in spans:
+        parts = []  # runs of neighbouring parts that are left
+        for pos, first, found, end in lines:
+            x, y = max(lo, first), min(hi, first + len(found))
+            if x >= y:
+                continue
+            if pos in gone:
+                parts.append([])
+                continue
+            stop = end if y == first + len(found) else found[y - first][0]
+            if not parts:
+                parts.append([])
+            parts[-1].append((pos, found[x - first][0], stop, y - x, x, len(found)))
+        for run in parts:
+            enough = sum(p[3] for p in run) >= min_words
+            out += [p[:5] for p in run if enough or p[5] >= min_paragraph or p[3] < p[5]]
+    return sorted(set(out))
+
+
+def repeated_spans(docs: DataFrame, gone: DataFrame, span_words: int = 50, min_paragraph: int = 5, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Parts of lines to cut, whatever the line breaks: ``(doc, copy, pos, char_from, char_to, n_words, run_words, kept_doc, kept_pos)``.
+
+    ``gone`` holds ``(doc, copy, pos)`` of the lines that go anyway. Characters are counted from the start of the text.
+    """
+    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    places = stage(_places(named), "places")
+    firsts = places.groupBy("key").agg(F.min(F.struct("doc", "copy", "at")).alias("first"), F.max("doc").alias("last_doc")).where("last_doc <> first.doc")
+    seeds = (
+        places.join(gone.select("doc", "copy", "pos").distinct(), ["doc", "copy", "pos"], "left_anti")
+        .join(firsts.select("key", "first"), "key")
+        .where("doc <> first.doc")
+        .groupBy("doc", "copy", F.col("first.doc").alias("kept_doc"), F.col("first.copy").alias("kept_copy"))
+        .agg(F.collect_set(F.struct("at", F.col("first.at").alias("kept_at"))).alias("seeds"))
+    )
+    seeds = stage(seeds, "seeds")
+    release(places)
+    own = seeds.select("doc", "copy").union(seeds.select("kept_doc", "kept_copy")).distinct()
+    texts = named.join(own, ["doc", "copy"], "left_semi").dropDuplicates(["doc", "copy"])
+    lines = gone.groupBy("doc", "copy").agg(F.collect_set("pos").alias("gone"))
+    kept = texts.select(F.col("doc").alias("kept_doc"), F.col("copy").alias("kept_copy"), F.col("text").alias("kept_text"))
+    pairs = seeds.join(lines, ["doc", "copy"], "left").join(kept, ["kept_doc", "kept_copy"]).join(texts, ["doc", "copy"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in slices(frames, "text"):
+            rows = []
+            columns = ["doc", "copy", "text", "gone", "kept_doc", "kept_text", "seeds"]
+            for doc, copy, text, out, kept_doc, kept_text, common in frame[columns].itertuples(index=False, name=None):
+                a, b = words(text), words(kept_text)
+                spans = shared_spans(a, b, [(s["at"], s["kept_at"]) for s in common], span_words)
+                if not spans:
+                    continue
+                before = np.cumsum([len(words(line)) for line in kept_text.split("\n")])
+                for lo, hi, other in spans:
+                    other_pos = int(np.searchsorted(before, other, side="right"))
+                    for pos, start, end, n, _ in _pieces(text, [(lo, hi)], set() if out is None else set(map(int, out)), min_paragraph, min_words):
+                        rows.append((doc, copy, pos, start, end, n, hi - lo, kept_doc, other_pos))
+            yield pd.DataFrame(rows, columns=["doc", "copy", "pos", "char_from", "char_to", "n_words", "run_words", "kept_doc", "kept_pos"])
+
+    return pairs.mapInPandas(run, "doc long, copy long, pos int, char_from int, char_to int, n_words int, run_words int, kept_doc long, kept_pos int")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 50, **options) -> DataFrame:
+    """Lines to remove, as ``repeated_paragraphs`` has them (no ``char_from``), and parts of lines, as ``repeated_spans`` has them (no ``component``)."""
+    whole = stage(repeated_paragraphs(docs, id_col=id_col, text_col=text_col, **options), "repeated-paragraphs")
+    least = {k: v for k, v in options.items() if k in ("min_paragraph", "min_words")}
+    return stage(whole.unionByName(repeated_spans(docs, whole, span_words, id_col=id_col, text_col=text_col, **least), allowMissingColumns=True), "repeated-passages")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
     """The documents without their repeated passages, all columns kept; a count of characters is brought up to date.
 
-    A document of which nothing is left but repeats becomes the empty text.
+    A document of which nothing is left but repeats becomes the empty text. A line of which nothing is left goes with its line break.
     """
-    gone = repeated_paragraphs(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc", "copy").agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("copy").alias("_of"), "_gone")
+    part = F.when(F.col("char_from").isNotNull(), F.struct("char_from", "char_to"))
+    gone = repeated_passages(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc", "copy")
+    gone = gone.agg(F.collect_set(F.when(F.col("char_from").isNull(), F.col("pos"))).alias("_gone"), F.sort_array(F.collect_set(part)).alias("_parts"))
+    gone = gone.select(F.col("doc").alias("_doc"), F.col("copy").alias("_of"), "_gone", "_parts")
     keyed = docs.withColumn("_copy", F.xxhash64(text_col))
     joined = keyed.join(gone, (keyed[id_col] == F.col("_doc")) & (F.col("_copy") == F.col("_of")), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)
+    own = F.col(text_col)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    cut = F.aggregate(
+        "_parts",
+        start,
+        lambda s, p: F.struct(F.concat(s.out, F.substring(own, s.at + 1, F.greatest(p.char_from - s.at, F.lit(0)))).alias("out"), F.greatest(s.at, p.char_to).alias("at")),
+        lambda s: F.concat(s.out, F.substring(own, s.at + 1, F.length(own))),
+    )
+    was = F.split(own, "\n", -1)
+    emptied = lambda x, i: (F.size("_parts") > 0) & ~x.rlike("[^ \\t\\x0B\\f\\r]") & F.get(was, i).rlike("[^ \\t\\x0B\\f\\r]")
+    left = F.array_join(F.filter(F.split(F.when(F.size("_parts") > 0, cut).otherwise(own), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i) & ~emptied(x, i)), "\n")
+    text = F.when(F.col("_gone").isNull(), own).otherwise(left)
     out = joined.withColumn(text_col, text)
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col("_gone").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))

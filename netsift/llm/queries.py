@@ -27,11 +27,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages of all documents: each paragraph to remove, and the one of another document that stays."""
+    """Repeated paragraphs of all documents: each whole line to remove, and the one of another document that stays."""
     found = paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), "pos", "n_words", "run_words", "component", F.col("kept_doc").alias("kept_doc_id"), "kept_pos")
 
 
+@_query
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All repeated passages: the lines of ``op2_substring_dedup``, and the parts of lines that are repeated whatever the line breaks."""
+    found = paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "pos", "n_words", "run_words", "component", F.col("kept_doc").alias("kept_doc_id"), "kept_pos", "char_from", "char_to")
+
+
 def _labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """Texts and labels of the rows that may be learnt from."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), label).where(F.col(label).isNotNull() & ~held_out("_id"))

@@ -191,6 +191,34 @@ def test_passages_equal_brute_force(spark):
     assert paragraphs.repeated_paragraphs(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passages_without_line_breaks_of_their_own(spark):
+    rng = random.Random(7)
+    first = sentence(rng, 70).split()
+    edited = first[:]
+    for k in (15, 33, 52):
+        edited[k] = "changed"
+    own = [sentence(rng, 40, "klmnopqrst") for _ in range(7)]
+    texts = [
+        " ".join([own[0], *first, own[1]]),  # mid-line in a document of one line: stays
+        " ".join([own[2], *first, own[3]]),
+        own[4] + "\n" + "\n".join(" ".join(first[k : k + 13]) for k in range(0, 70, 13)) + "\n" + own[5],  # other line breaks
+        own[6] + "\n" + "\n".join(" ".join(first[k : k + 3]) for k in range(0, 70, 3)),  # lines under five words
+        " ".join([own[0][::-1], *edited]) + "\nend",  # one word changed in twenty
+        " ".join([own[1][::-1], *first[:45]]),  # not over 50 words: stays
+    ]
+    left = {r.doc_id: r for r in paragraphs.remove_repeats(docs_frame(spark, texts)).collect()}
+    want = [texts[0], f"{own[2]} {own[3]}", f"{own[4]}\n{own[5]}", own[6], f"{own[0][::-1]} \nend", texts[5]]
+    assert [left[i].text for i in range(6)] == want
+    assert all(r.n_chars == len(r.text) for r in left.values())
+
+
+def test_all_passages_hold_the_lines_and_more(spark):
+    lines = {(r.doc_id, r.pos) for r in queries.QUERIES["op2_substring_dedup"](spark, DATA).collect()}
+    found = queries.QUERIES["op2_repeated_passages"](spark, DATA).collect()
+    assert {(r.doc_id, r.pos) for r in found if r.char_from is None} == lines
+    assert any(r.char_from is not None for r in found) and all(r.kept_doc_id < r.doc_id for r in found if r.char_from is not None)
+
+
 def test_queries_on_the_small_tables(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
