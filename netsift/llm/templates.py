@@ -4,10 +4,11 @@ A page is a sequence of tokens: start tags and text runs, each told apart by the
 path of open elements above it. Across the pages of one host every token has an
 occurrence vector (how often it occurs on each page). Tokens with equal vectors
 form an equivalence class; a class with enough pages and at least two tokens, one
-of them a tag, is valid and belongs to the host's template. Paths nest the classes:
-an element of a valid class is a place of the template, its innermost open place
-is the slot that a text run falls in. Text runs of valid classes are the template's
-own words; what other text the slots hold is the pages' content.
+of them a tag, is valid and belongs to the host's template. Open elements nest the
+classes: a text run is the template's own if an element open above it is of the run's
+class, so that it stands wherever that element stands. Text that some pages only share
+as copies of one another has no such element. An element (a paragraph, say) that also
+holds other text is content with all its words.
 
 Vectors are never written out. Spark sums, per host and token, the number of pages
 and two hashes of (page, count); equal vectors have equal sums. Hosts of any size
@@ -90,14 +91,15 @@ class Page:
     """One pass over a page; text runs are reported with their place."""
 
     def __init__(self, source: str):
-        self.runs: list[tuple[int, int, str, bool, bool, bool, int]] = []  # path, token, text, left out, in main, in a link, block
+        self.runs: list[tuple[int, int, str, bool, bool, bool, int, int]] = []  # path, token, text, left out, in main, in a link, block, element
+        self.elements: list[tuple[int, int, str]] = [(-1, 0, "")]  # element above, token, name
         self.tags: list[int] = []  # tokens of start tags
         self.parents: dict[int, int] = {}
         self._read(source)
 
     def _read(self, source: str) -> None:
-        # open elements: name, path, left out, in main, in a link
-        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        # open elements: name, path, left out, in main, in a link, number
+        stack: list[tuple[str, int, bool, bool, bool, int]] = [("", 0, False, False, False, 0)]
         block = 0
         for match in _TOKEN.finditer(source):
             raw = match.group(1)
@@ -110,9 +112,9 @@ class Page:
                     if len(text) > 1:
                         continue
                     text = "<"
-                _, path, out, main, link = stack[-1]
+                _, path, out, main, link, element = stack[-1]
                 text = entities.unescape(text)
-                self.runs.append((path, digest(path, "text", " ".join(text.split())), text, out, main, link, block))
+                self.runs.append((path, digest(path, "text", " ".join(text.split())), text, out, main, link, block, element))
                 continue
             name = name.lower()
             if match.group(2):
@@ -132,7 +134,7 @@ class Page:
                 self._close(stack, {"p"}, {"article", "main", "div", "section", "td", "li", "body", "button"})
             if name in CLOSES:
                 self._close(stack, CLOSES[name], {"ul", "ol", "dl", "table", "select", "menu"})
-            _, path, out, main, link = stack[-1]
+            _, path, out, main, link, above = stack[-1]
             label, other = names_of(match.group(4))
             here = digest(path, name, label) if name not in INLINE and name != "p" else path
             self.tags.append(digest(path, "tag", name, label))
@@ -144,7 +146,8 @@ class Page:
                 out, main = False, True
             elif name in LEFT_OUT or other and name not in ("html", "body"):
                 out = True
-            stack.append((name, here, out, main, link or name == "a"))
+            self.elements.append((above, self.tags[-1], name))
+            stack.append((name, here, out, main, link or name == "a", len(self.elements) - 1))
 
     @staticmethod
     def _close(stack: list, names: set[str], barrier: set[str]) -> None:
@@ -155,15 +158,16 @@ class Page:
             if stack[i][0] in barrier:
                 return
 
-    def text(self, template: frozenset[int], main_paths: frozenset[int]) -> str:
+    def text(self, template: dict[int, int], main_paths: frozenset[int]) -> str:
         """Content of the main slots, block by block.
 
-        A page that names its article has its slots there, and all their text is content. Elsewhere the template's
-        own text runs are left out, unless they are most of the text: then the host's pages are copies of one another.
+        ``template`` has the class of each token of a valid class. Elements that hold nothing but the template's own
+        text runs are left out, unless they are most of the text: then the host's pages are copies of one another.
         """
         has_main = any(run[4] and not run[3] for run in self.runs)
         runs = [r for r in self.runs if not r[3] and (r[4] if has_main else not main_paths or self._inside(r[0], main_paths))]
-        own = runs if has_main else [r for r in runs if r[1] not in template]
+        mixed = {self._block(r[7]) for r in runs if r[2].strip() and not self._fixed(r, template)}
+        own = [r for r in runs if self._block(r[7]) in mixed]
         if 2 * sum(len(r[2].strip()) for r in own) < sum(len(r[2].strip()) for r in runs):
             own = runs
         blocks: dict[int, list[str]] = {}
@@ -172,6 +176,21 @@ class Page:
         whole = (" ".join("".join(parts).split()) for parts in blocks.values())
         return " ".join(b for b in whole if b)
 
+    def _block(self, element: int) -> int:
+        """The innermost element around that is not an inline one."""
+        while self.elements[element][2] in INLINE:
+            element = self.elements[element][0]
+        return element
+
+    def _fixed(self, run: tuple, template: dict[int, int]) -> bool:
+        """Whether a text run is of the class of an element around it."""
+        own, element = template.get(run[1]), run[7]
+        while own is not None and element > 0:
+            if template.get(self.elements[element][1]) == own:
+                return True
+            element = self.elements[element][0]
+        return False
+
     def _inside(self, path: int, among: frozenset[int]) -> bool:
         while path not in among:
             if not path:
@@ -219,7 +238,7 @@ def occurrence_sums(pages: DataFrame) -> DataFrame:
                 counts: dict[tuple[int, int], int] = {}
                 for token in page.tags:
                     counts[TAG, token] = counts.get((TAG, token), 0) + 1
-                for path, token, text, out, main, link, _ in page.runs:
+                for path, token, text, out, main, link, _, _ in page.runs:
                     size = len(text.strip())
                     if size:
                         counts[TEXT, token] = counts.get((TEXT, token), 0) + 1
@@ -237,12 +256,13 @@ def occurrence_sums(pages: DataFrame) -> DataFrame:
 
 
 def deduce(pages: DataFrame, min_pages: int = 3, min_share: float = 0.2, path_share: float = 0.3) -> DataFrame:
-    """``(host, template, main_paths)``: the template's own text runs, and paths that hold the main text where no element says so."""
+    """``(host, template, main_paths)``: tokens of valid classes, each with its class, and paths that hold the main text where no element says so."""
     sums = stage(occurrence_sums(pages), "occurrence-sums")
     hosts = sums.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("all_pages"))
     tokens = sums.where(F.col("kind").isin(TAG, TEXT)).where(F.col("pages") >= min_pages).join(hosts, "host").where(F.col("pages") >= min_share * F.col("all_pages"))
     classes = tokens.groupBy("host", "pages", "s1", "s2").agg(F.count("*").alias("size"), F.max((F.col("kind") == TAG).cast("int")).alias("tags")).where("size >= 2 AND tags = 1")
-    own = tokens.where(F.col("kind") == TEXT).join(classes.select("host", "pages", "s1", "s2"), ["host", "pages", "s1", "s2"]).groupBy("host").agg(F.collect_list("token").alias("template"))
+    own = tokens.join(classes.select("host", "pages", "s1", "s2"), ["host", "pages", "s1", "s2"]).groupBy("host")
+    own = own.agg(F.collect_list(F.struct("token", F.xxhash64("pages", "s1", "s2").alias("class"))).alias("template"))
     paths = sums.where(F.col("kind") == PATH).select("host", "token", F.col("s1").alias("chars"), (F.col("s1") - F.col("s2")).alias("plain"))
     paths = paths.where(F.col("plain") * 2 > F.col("chars"))
     most = paths.groupBy("host").agg(F.max("plain").alias("most"))
@@ -254,12 +274,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``(page_id, url, text)`` of every page. Templates are broadcast only if their measured size is small, else joined by host."""
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     templates = stage(deduce(named), "templates")
-    size = templates.agg(F.sum(F.coalesce(F.size("template"), F.lit(0)) + F.coalesce(F.size("main_paths"), F.lit(0)) + 4)).first()[0] or 0
+    size = templates.agg(F.sum(2 * F.coalesce(F.size("template"), F.lit(0)) + F.coalesce(F.size("main_paths"), F.lit(0)) + 4)).first()[0] or 0
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[^:/?#]*://)?([^/?#]*)", 1))
     joined = named.withColumn("host", host).join(F.broadcast(templates) if size <= broadcast_tokens else templates, "host", "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[frozenset, frozenset]] = {}
+        known: dict[str, tuple[dict, frozenset]] = {}
         for frame in slices(frames, "html"):
             texts = []
             for name, source, template, paths in frame[["host", "html", "template", "main_paths"]].itertuples(index=False, name=None):
@@ -269,7 +289,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 if name not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[name] = (frozenset(() if template is None else map(int, template)), frozenset(() if paths is None else map(int, paths)))
+                    known[name] = ({} if template is None else {t["token"]: t["class"] for t in template}, frozenset(() if paths is None else map(int, paths)))
                 texts.append(Page(source).text(*known[name]))
             yield frame[["page_id", "url"]].assign(text=texts)
 

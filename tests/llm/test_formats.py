@@ -157,6 +157,15 @@ def test_pages_without_an_article_use_the_template(spark):
         assert "Welcome" not in got[i] and "partner" not in got[i] and "cookies" not in got[i] and "nice" not in got[i]
 
 
+def test_notices_inside_the_article_belong_to_the_template(spark):
+    rng = random.Random(8)
+    said = [" ".join(rng.choice("alpha beta gamma delta".split()) + str(rng.randint(0, 99)) for _ in range(30)) for _ in range(12)]
+    said[3:6] = [said[3]] * 3  # copies among other pages keep their text
+    notice = "<p>Read more stories like this one</p>"
+    rows = [(i, "http://h.example/", PAGE.format(body=f"<article><h1>Title {i}</h1><p>{t}</p>{notice}</article>", i=i)) for i, t in enumerate(said)]
+    assert texts_of(spark, rows) == {i: f"Title {i} {t}" for i, t in enumerate(said)}
+
+
 def test_copies_of_one_page_keep_their_text(spark):
     got = texts_of(spark, [(i, "http://h.example/", PAGE.format(body=ARTICLE.format(i=7), i=7)) for i in range(8)])
     assert set(got.values()) == {"T & x7 One bold7text two é7 three"}
