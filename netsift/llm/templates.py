@@ -12,13 +12,15 @@ holds other text is content with all its words.
 
 Vectors are never written out. Spark sums, per host and token, the number of pages
 and two hashes of (page, count); equal vectors have equal sums. Hosts of any size
-are spread by token. The same pass sums how much text, and how much of it in links,
-each path holds.
+are spread by token.
 
-Slots are main text if they lie in an ``article`` or ``main`` element; on hosts
-without one, if their path holds a large part of the host's unlinked text. Elements
-that are menus, headers, footers, sidebars, notices, adverts, forms or comments by
-tag or by a word of their class or id are left out everywhere.
+A slot is an innermost open element of a valid class, or without one the innermost
+block. If a page has ``article`` or ``main`` elements, its slots are main text inside
+them. On other pages each slot is judged on the page itself: it is main text unless
+half of its text or more is in links. Ids take no part in tokens, since many are
+one page's own. Elements that are menus, headers, footers, sidebars, notices,
+adverts, forms or comments by tag or by a word of their class or id are left out
+everywhere.
 
 Edge cases: null and empty html give the empty text; a page of a host with too few
 pages for classes is read by its elements alone; unclosed and stray tags close as
@@ -78,13 +80,13 @@ def digest(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "replace")) - (1 << 63)
 
 
-def names_of(attributes: str) -> tuple[str, bool]:
-    """Class, id and role of a tag, and whether a word of them names something other than main text."""
+def names_of(attributes: str) -> tuple[str, bool, bool]:
+    """Class and role of a tag, and whether a word of them or of the id names something other than main text, or main text."""
     if "=" not in attributes:
-        return "", False
-    found = [a or b or c for _, a, b, c in _NAMES.findall(attributes)]
-    text = " ".join(found)
-    return text, any(w.lower() in NOT_MAIN for w in _WORD.findall(text))
+        return "", False, False
+    found = [(name.lower(), a or b or c) for name, a, b, c in _NAMES.findall(attributes)]
+    text = " ".join(x for _, x in found)
+    return " ".join(x for name, x in found if name != "id"), any(w.lower() in NOT_MAIN for w in _WORD.findall(text)), "main" in text.lower().split()
 
 
 class Page:
@@ -94,7 +96,6 @@ class Page:
         self.runs: list[tuple[int, int, str, bool, bool, bool, int, int]] = []  # path, token, text, left out, in main, in a link, block, element
         self.elements: list[tuple[int, int, str]] = [(-1, 0, "")]  # element above, token, name
         self.tags: list[int] = []  # tokens of start tags
-        self.parents: dict[int, int] = {}
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -135,14 +136,12 @@ class Page:
             if name in CLOSES:
                 self._close(stack, CLOSES[name], {"ul", "ol", "dl", "table", "select", "menu"})
             _, path, out, main, link, above = stack[-1]
-            label, other = names_of(match.group(4))
+            label, other, named_main = names_of(match.group(4))
             here = digest(path, name, label) if name not in INLINE and name != "p" else path
             self.tags.append(digest(path, "tag", name, label))
-            if here != path:
-                self.parents[here] = path
             if name in VOID:
                 continue
-            if name in MAIN or "main" in label.lower().split():
+            if name in MAIN or named_main:
                 out, main = False, True
             elif name in LEFT_OUT or other and name not in ("html", "body"):
                 out = True
@@ -158,14 +157,20 @@ class Page:
             if stack[i][0] in barrier:
                 return
 
-    def text(self, template: dict[int, int], main_paths: frozenset[int]) -> str:
+    def text(self, template: dict[int, int]) -> str:
         """Content of the main slots, block by block.
 
         ``template`` has the class of each token of a valid class. Elements that hold nothing but the template's own
         text runs are left out, unless they are most of the text: then the host's pages are copies of one another.
         """
         has_main = any(run[4] and not run[3] for run in self.runs)
-        runs = [r for r in self.runs if not r[3] and (r[4] if has_main else not main_paths or self._inside(r[0], main_paths))]
+        runs = [r for r in self.runs if not r[3] and (r[4] or not has_main)]
+        if not has_main:
+            plain: dict[int, int] = {}  # unlinked less linked characters of each slot
+            for r in runs:
+                slot = self._slot(r[7], template)
+                plain[slot] = plain.get(slot, 0) + (-1 if r[5] else 1) * len(r[2].strip())
+            runs = [r for r in runs if plain[self._slot(r[7], template)] > 0]
         mixed = {self._block(r[7]) for r in runs if r[2].strip() and not self._fixed(r, template)}
         own = [r for r in runs if self._block(r[7]) in mixed]
         if 2 * sum(len(r[2].strip()) for r in own) < sum(len(r[2].strip()) for r in runs):
@@ -191,12 +196,17 @@ class Page:
             element = self.elements[element][0]
         return False
 
-    def _inside(self, path: int, among: frozenset[int]) -> bool:
-        while path not in among:
-            if not path:
-                return False
-            path = self.parents.get(path, 0)
-        return True
+    def _slot(self, element: int, template: dict[int, int]) -> int:
+        """The innermost block around that is a place of the template, or else the innermost block but paragraphs."""
+        block = -1
+        while element > 0:
+            _, token, name = self.elements[element][:3]
+            if name not in INLINE and name != "p":
+                if token in template:
+                    return element
+                block = element if block < 0 else block
+            element = self.elements[element][0]
+        return max(block, 0)
 
 
 def host_of(url: str | None) -> str:
@@ -205,11 +215,11 @@ def host_of(url: str | None) -> str:
     return url.split("://", 1)[-1].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower()
 
 
-TAG, TEXT, PATH, PAGE = 0, 1, 2, 3
+TAG, TEXT, PAGE = 0, 1, 2
 
 
 def occurrence_sums(pages: DataFrame) -> DataFrame:
-    """``(host, kind, token, pages, s1, s2)``: number of pages and hash sums of each token's vector; for paths, characters and linked characters."""
+    """``(host, kind, token, pages, s1, s2)``: number of pages and hash sums of each token's vector."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[str, int, int], list[int]] = {}
@@ -238,12 +248,9 @@ def occurrence_sums(pages: DataFrame) -> DataFrame:
                 counts: dict[tuple[int, int], int] = {}
                 for token in page.tags:
                     counts[TAG, token] = counts.get((TAG, token), 0) + 1
-                for path, token, text, out, main, link, _, _ in page.runs:
-                    size = len(text.strip())
-                    if size:
+                for _, token, text, *_ in page.runs:
+                    if text.strip():
                         counts[TEXT, token] = counts.get((TEXT, token), 0) + 1
-                        if not out and not main:
-                            add((host, PATH, path), 0, size, size if link else 0)
                 for (kind, token), n in counts.items():
                     h = digest(name, n) & 0x3FFFFFFFFFFFFFFF
                     add((host, kind, token), 1, h & 0x7FFFFFFF, h >> 31)
@@ -255,44 +262,39 @@ def occurrence_sums(pages: DataFrame) -> DataFrame:
     return found.groupBy("host", "kind", "token").agg(F.sum("pages").alias("pages"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
 
 
-def deduce(pages: DataFrame, min_pages: int = 3, min_share: float = 0.2, path_share: float = 0.3) -> DataFrame:
-    """``(host, template, main_paths)``: tokens of valid classes, each with its class, and paths that hold the main text where no element says so."""
+def deduce(pages: DataFrame, min_pages: int = 3, min_share: float = 0.2) -> DataFrame:
+    """``(host, template)``: tokens of valid classes, each with its class."""
     sums = stage(occurrence_sums(pages), "occurrence-sums")
     hosts = sums.where(F.col("kind") == PAGE).select("host", F.col("pages").alias("all_pages"))
     tokens = sums.where(F.col("kind").isin(TAG, TEXT)).where(F.col("pages") >= min_pages).join(hosts, "host").where(F.col("pages") >= min_share * F.col("all_pages"))
     classes = tokens.groupBy("host", "pages", "s1", "s2").agg(F.count("*").alias("size"), F.max((F.col("kind") == TAG).cast("int")).alias("tags")).where("size >= 2 AND tags = 1")
     own = tokens.join(classes.select("host", "pages", "s1", "s2"), ["host", "pages", "s1", "s2"]).groupBy("host")
-    own = own.agg(F.collect_list(F.struct("token", F.xxhash64("pages", "s1", "s2").alias("class"))).alias("template"))
-    paths = sums.where(F.col("kind") == PATH).select("host", "token", F.col("s1").alias("chars"), (F.col("s1") - F.col("s2")).alias("plain"))
-    paths = paths.where(F.col("plain") * 2 > F.col("chars"))
-    most = paths.groupBy("host").agg(F.max("plain").alias("most"))
-    main = paths.join(most, "host").where(F.col("plain") >= path_share * F.col("most")).groupBy("host").agg(F.collect_list("token").alias("main_paths"))
-    return own.join(main, "host", "full_outer").select("host", "template", "main_paths")
+    return own.agg(F.collect_list(F.struct("token", F.xxhash64("pages", "s1", "s2").alias("class"))).alias("template"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_tokens: int = 500_000) -> DataFrame:
     """``(page_id, url, text)`` of every page. Templates are broadcast only if their measured size is small, else joined by host."""
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     templates = stage(deduce(named), "templates")
-    size = templates.agg(F.sum(2 * F.coalesce(F.size("template"), F.lit(0)) + F.coalesce(F.size("main_paths"), F.lit(0)) + 4)).first()[0] or 0
+    size = templates.agg(F.sum(2 * F.size("template") + 4)).first()[0] or 0
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[^:/?#]*://)?([^/?#]*)", 1))
     joined = named.withColumn("host", host).join(F.broadcast(templates) if size <= broadcast_tokens else templates, "host", "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[dict, frozenset]] = {}
+        known: dict[str, dict[int, int]] = {}
         for frame in slices(frames, "html"):
             texts = []
-            for name, source, template, paths in frame[["host", "html", "template", "main_paths"]].itertuples(index=False, name=None):
+            for name, source, template in frame[["host", "html", "template"]].itertuples(index=False, name=None):
                 if not source:
                     texts.append("")
                     continue
                 if name not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[name] = ({} if template is None else {t["token"]: t["class"] for t in template}, frozenset(() if paths is None else map(int, paths)))
-                texts.append(Page(source).text(*known[name]))
+                    known[name] = {} if template is None else {t["token"]: t["class"] for t in template}
+                texts.append(Page(source).text(known[name]))
             yield frame[["page_id", "url"]].assign(text=texts)
 
     kind = named.schema["page_id"].dataType.simpleString()
-    out = joined.select("page_id", "url", "html", "host", "template", "main_paths").mapInPandas(run, f"page_id {kind}, url string, text string")
+    out = joined.select("page_id", "url", "html", "host", "template").mapInPandas(run, f"page_id {kind}, url string, text string")
     return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text")

@@ -166,6 +166,29 @@ def test_notices_inside_the_article_belong_to_the_template(spark):
     assert texts_of(spark, rows) == {i: f"Title {i} {t}" for i, t in enumerate(said)}
 
 
+def test_slots_are_judged_on_their_own_page(spark):
+    rng = random.Random(9)
+
+    def said(n):
+        return " ".join(rng.choice("alpha beta gamma delta".split()) + str(rng.randint(0, 999)) for _ in range(n))
+
+    want, rows = {}, []
+    for i in range(30):  # an id per page, very different lengths, and a second block outside the container
+        a, b = said(400 if i == 0 else 20), said(6)
+        links = "".join(f"<a href=/{k}>more{k}x{i}</a> " for k in range(9))
+        rows.append((i, "http://h.example/", PAGE.format(body=f"<div id=post-{i}><p>{a}</p></div><div class=second><h2>{b}</h2></div><div class=list>{links}</div>", i=i)))
+        want[i] = f"{a} {b}"
+    for i in range(30, 36):  # a second, rarer layout of the same host, and pages without an url
+        a = said(15)
+        rows.append((i, "http://h.example/", PAGE.format(body=f"<table class=old><tr><td>{a}</td></tr></table>", i=i)))
+        want[i] = a
+    for i in range(40, 50):
+        a = said(100 if i < 45 else 10)
+        rows.append((i, None, PAGE.format(body=f"<div class=x{i % 2}><p>{a}</p></div>", i=i)))
+        want[i] = a
+    assert texts_of(spark, rows) == want
+
+
 def test_copies_of_one_page_keep_their_text(spark):
     got = texts_of(spark, [(i, "http://h.example/", PAGE.format(body=ARTICLE.format(i=7), i=7)) for i in range(8)])
     assert set(got.values()) == {"T & x7 One bold7text two é7 three"}
