@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import bound_batches, bounded_sample, slices
+from netsift.llm.common import bound_batches, slices
 
 WORD = re.compile(r"[^\W\d_]{1,32}")
 UND = "und"
@@ -176,8 +176,11 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 20_000, buckets: int = 1 << 15) -> Model:
-    """Learn from labelled rows, at most about ``max_rows`` of them."""
-    rows = bounded_sample(docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), id_col, max_rows)
+    """Learn from labelled rows, at most about ``max_rows`` of each language, so that a rare one keeps all its rows."""
+    labelled = bound_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    share = F.lit(float(max_rows)) / F.count("*") * F.lit(float(1 << 40))
+    sizes = labelled.groupBy("lang").agg(share.alias("below"))  # a row for each language, as the model has
+    rows = labelled.join(F.broadcast(sizes), "lang").where(F.coalesce(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1 << 40)) < F.col("below"), F.lit(True)))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, "text"):
@@ -199,7 +202,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 yield pd.DataFrame({"lang": lang, "kind": 0, "bucket": some, "n": total[some].astype(np.int64)})
 
     counts = (
-        rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+        rows.select("text", "lang")
         .mapInPandas(count, "lang string, kind int, bucket int, n long")
         .groupBy("lang", "kind", "bucket")
         .agg(F.sum("n").alias("n"))

@@ -119,3 +119,9 @@ def test_context_sums_equal_a_plain_loop(spark):
             want[x] += index[y]
             want[y] += index[x]
     assert np.allclose(quality.context_sums(frame), want)
+
+
+def test_a_rare_language_keeps_its_rows(spark):
+    rows = [(i, f"the and of with common words {i}", "en") for i in range(2000)] + [(5000, "żółć gęślą jaźń źdźbło", "pl")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=20)
+    assert list(model.languages) == ["en", "pl"]
