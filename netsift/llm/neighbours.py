@@ -157,10 +157,20 @@ class Index:
             out.append(chosen)
         return out
 
-    def select(self, x: np.ndarray) -> list[np.ndarray]:
-        """Lists that each query visits."""
+    def select(self, x: np.ndarray, sizes: np.ndarray | None = None, least: int = 0) -> list[np.ndarray]:
+        """Lists that each query visits: all within the ratio, and further ones until they hold ``least`` rows (``sizes`` of the lists)."""
         top, dist = self.walk(x, self.reach)
-        return [t[d <= self.ratio * d[0] + 1e-6] for t, d in zip(top, dist, strict=True)]
+        out = [t[d <= self.ratio * d[0] + 1e-6] for t, d in zip(top, dist, strict=True)]
+        for i, own in enumerate(out):
+            short = sizes is not None and sizes[own].sum() < least
+            if len(own) < len(self.centres) and (short or len(own) == top.shape[1]):
+                far = np.sqrt(np.maximum(2 - 2 * self.centres @ x[i], 0))
+                order = np.argsort(far, kind="stable")
+                n = int((far <= self.ratio * far.min() + 1e-6).sum())
+                if sizes is not None:
+                    n = max(n, int(np.searchsorted(np.cumsum(sizes[order]), least)) + 1)
+                out[i] = np.union1d(own, order[:n])
+        return out
 
 
 def exact_neighbours(vectors: DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -240,10 +250,14 @@ def search(rows: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
         for f in frames:
             for s in range(0, len(f), 512):
                 g = f.iloc[s : s + 512]
-                lists = shared.value.select(unit(matrix(g["v"])))
+                lists = shared.value.select(unit(matrix(g["v"])), sizes, (k + 1) * COPIES)
                 yield g.loc[np.repeat(g.index, [len(x) for x in lists])].assign(list=[int(j) for x in lists for j in x])
 
     posted = stage(distinct.mapInPandas(post, "v array<double>, id long, ids array<long>, list int"), "postings")
+    # rows of each list, one number per list; a vector is in COPIES lists at most, so so many rows hold k others
+    sizes = np.zeros(len(index.centres), dtype=np.int64)
+    for r in posted.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
+        sizes[r["list"]] = r["n"]
     asked = stage(cleaned.where(queries).select("id", "v").mapInPandas(select, "id long, v array<double>, list int"), "visits")
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
     blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("long").alias("blocks"))

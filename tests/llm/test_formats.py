@@ -228,6 +228,18 @@ def test_neighbours_reach_the_recall(spark):
     assert all(sorted(r.rank for r in got if r.query_id == q) == [1, 2, 3, 4, 5] for q in (0, 50))
 
 
+def test_neighbours_of_a_query_on_its_own_centroid(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([[[0.0] * 7 + [1.0]], np.eye(8)[0] + rng.normal(0, 0.1, (60, 8))])
+    index = neighbours.Index.build(neighbours.unit(x[[0, 1, 20]]))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(frame, F.col("id") == 0, k=5, index=index).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [j for j, _ in nearest(np.arange(len(x)), x, 0, 5)]
+    index.reach = 1  # the walk's length cuts no list inside the ratio
+    index.ratio = 10.0
+    assert all(len(lists) == 3 for lists in index.select(neighbours.unit(x[5:8])))
+
+
 def test_neighbours_of_copies_and_unusable_rows(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(i, same) for i in range(0, 120)] + [(200, [3.0, -1.0, 0.5]), (201, None), (202, []), (203, [0.0, 0.0, 0.0]), (204, [1.0, None, 2.0]), (205, [float("nan"), 1.0, 1.0]), (250, [1.0, 2.0])]
