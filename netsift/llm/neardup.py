@@ -81,11 +81,19 @@ def _join_split_documents(labels: DataFrame, owned: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns; of rows that share an id one stays."""
-    found = stage(near_duplicates(docs, shingle, num, den, id_col=id_col, text_col=text_col), "near-duplicates")
-    dropped = found.where(~F.col("kept")).select(id_col).distinct()
-    kept = docs.join(dropped, id_col, "left_anti")
-    twice = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    """One document of each group, with all its columns.
+
+    Rows that share an id and a text are one document, of which a fixed row stays; where only the id is shared, each text is
+    a document of its own.
+    """
+    twice = stage(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated-ids")
     if twice.isEmpty():
-        return kept
-    return kept.join(twice, id_col, "left_anti").unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col]))
+        found = near_duplicates(docs, shingle, num, den, id_col=id_col, text_col=text_col)
+        return docs.join(found.where(~F.col("kept")).select(id_col).distinct(), id_col, "left_anti")
+    own = F.when(F.col("_twice"), F.xxhash64(id_col, text_col)).otherwise(F.col(id_col).cast("long"))
+    keyed = docs.join(twice.withColumn("_twice", F.lit(True)), id_col, "left").withColumn("_row", own)
+    found = near_duplicates(keyed, shingle, num, den, id_col="_row", text_col=text_col)
+    kept = keyed.join(found.where(~F.col("kept")).select("_row").distinct(), "_row", "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    alike = kept.where("_twice").groupBy("_row").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("x")).select("x.*")
+    return kept.where("_twice IS NULL").select(*docs.columns).unionByName(alike)

@@ -118,6 +118,14 @@ def test_near_duplicates_with_rows_that_share_an_id(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_different_texts_of_one_id_both_stay(spark):
+    rng = random.Random(12)
+    a, b, c = (sentence(rng, 30) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (2, c, "x"), (3, c, "x"), (None, a, "z")]
+    got = rows_of(neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "text"))
+    assert got == sorted([(1, a), (1, b), (2, c), (None, a)], key=str)
+
+
 def test_residual_blocks_find_links_between_small_groups(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LEADER_ROUNDS", 1)
     monkeypatch.setattr(minhash, "BLOCK", 3)
