@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import stage
+from netsift.llm.common import release, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         "edges",
     )
     while not edges.isEmpty():
-        edges = stage(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, stage(_small_star(_large_star(edges)), "edges")
+        release(before)
         # in stars every larger end has one edge, and is no smaller end
         ends = edges.select("v", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("u", F.lit(0), F.lit(1)))
         if ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty():

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netsift.llm import bpe, chat, decontaminate, language, neardup, neighbours, paragraphs, quality, templates, toxicity
+from netsift.llm import bpe, chat, decontaminate, language, neardup, neighbours, paragraphs, quality, simhash, templates, toxicity
 from netsift.llm.common import held_out, score, table
 
 QUERIES = {}
@@ -108,6 +108,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "span_words", "span_langs")
 
 
+@_query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints differ in at most four bits."""
+    return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
