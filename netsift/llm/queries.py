@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netsift.llm import bpe, chat, decontaminate, language, neardup, neighbours, paragraphs, quality, simhash, templates, toxicity
+from netsift.llm import bpe, chat, collocations, decontaminate, language, neardup, neighbours, paragraphs, quality, simhash, spelling, templates, toxicity
 from netsift.llm.common import held_out, score, table
 
 QUERIES = {}
@@ -114,6 +114,18 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, the more frequent forms that they are variants of, and the ends of the chains of forms."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
@@ -160,3 +172,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(24 + len(role) + len(regexp_replace(text, '<(\\*)\|', '<\1\1\\|', 'g'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY 1"""
+
+ORACLES["op12_collocations"] = rf"""
+WITH p AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+  o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM p WHERE len(w) > 0),
+  c AS MATERIALIZED (SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, count(*) AS f
+    FROM o, (SELECT unnest([1, 2, 3]) AS k) WHERE s + k - 1 <= len(w) GROUP BY ALL),
+  t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY 1),
+  d AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM c WHERE k > 1 AND f >= 10),
+  h AS (SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+    FROM d, (SELECT unnest([1, 2]) AS cut) WHERE cut < k),
+  s AS (SELECT h.lang, h.phrase, h.a, x.f AS l, y.f AS r, CAST(CAST(a AS HUGEINT) * a * 1000000 // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score,
+      row_number() OVER (PARTITION BY h.lang, h.phrase ORDER BY CAST(a AS HUGEINT) * a * 1000000 // (CAST(x.f AS HUGEINT) * y.f), cut) AS best
+    FROM h JOIN c x ON x.lang = h.lang AND x.phrase = h.head JOIN c y ON y.lang = h.lang AND y.phrase = h.tail),
+  longer AS (SELECT lang, part, max(a) AS f FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM d WHERE k = 3) GROUP BY 1, 2),
+  kept AS (SELECT s.* FROM s LEFT JOIN longer ON longer.lang = s.lang AND part = phrase WHERE best = 1 AND NOT coalesce(100 * f >= 50 * a, false)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000"""
