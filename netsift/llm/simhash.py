@@ -8,10 +8,11 @@ values meet, and the fingerprints behind them are verified and linked. All finge
 that meet on one value are within the radius of each other, so the smallest of them is
 linked with the rest and no pairs are written.
 
-Values are dealt to passes and buckets by parities of their bits: the parity of a
-fingerprint and that of the flipped bits add up, so each pass makes its own eighth of the
-values and nothing else. A bucket's values travel as packed arrays, ten bytes a value; at
-most 2,081 fingerprints can meet on a value, whatever the data.
+Values are dealt to passes and buckets by parities of their bits: the parities of a
+fingerprint and of the flipped bits add up, so they say which of a fingerprint's values lie
+in a bucket. The fingerprint travels there once, packed with others, and its values are made
+on arrival: at most eight bytes a value, fewer where several lie in one bucket. At most 2,081
+fingerprints can meet on a value, whatever the data.
 
 Edge cases: null, empty and blank texts have fingerprint zero and are linked as any other;
 equal fingerprints are one node; repeated rows are repeated in the result; rows without an
@@ -36,9 +37,10 @@ from netsift.llm.components import connected_components
 from netsift.llm.minhash import words
 
 #: shares of the values that are shuffled one after another, so that one share is on disk at a time
-PASSES = 8
-BUCKET_BYTES = 4 << 20
-#: fingerprints whose values are held at once
+PASSES = 4
+#: values that meet in one bucket, about
+BUCKET_VALUES = 1 << 22
+#: fingerprints that are packed at once
 CHUNK = 4096
 
 
@@ -92,43 +94,48 @@ def parities(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _emit(nodes: DataFrame, reach: int, turn: int, pass_bits: int, bucket_bits: int) -> DataFrame:
-    """``(bucket, packed)``: the values of one pass around every fingerprint, and the number of the flip that made each."""
+    """``(bucket, packed)``: for every bucket of one pass, the fingerprints with values in it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flips = ball(reach)
-        own = parities(flips, pass_bits + bucket_bits)
+        own = parities(ball(reach), pass_bits + bucket_bits)
         low = (1 << pass_bits) - 1
         for frame in frames:
             for k in range(0, len(frame), CHUNK):
                 x = frame["fp"].to_numpy()[k : k + CHUNK].view(np.uint64)
                 names = parities(x, pass_bits + bucket_bits)
-                values, numbers, buckets = [], [], []
+                sources, buckets = [], []
                 for q in range(low + 1):
-                    some, flip = np.flatnonzero((names & low) == q), np.flatnonzero((own & low) == (q ^ turn))
-                    values.append((x[some, None] ^ flips[flip]).ravel())
-                    numbers.append(np.tile(flip.astype(np.uint16), len(some)))
-                    buckets.append(((names[some, None] ^ own[flip]) >> pass_bits).astype(np.uint16).ravel())
-                value, number, bucket = map(np.concatenate, (values, numbers, buckets))
+                    some, flips = np.flatnonzero((names & low) == q), np.unique(own[(own & low) == (q ^ turn)] >> pass_bits)
+                    sources.append(np.repeat(x[some], len(flips)))
+                    buckets.append(((names[some, None] >> pass_bits) ^ flips).ravel())
+                source, bucket = np.concatenate(sources), np.concatenate(buckets).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                value, number, bucket = value[order], number[order], bucket[order]
+                source, bucket = source[order], bucket[order]
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
-                packed = [a.tobytes() + b.tobytes() for a, b in zip(np.split(value, cuts), np.split(number, cuts), strict=True)] if len(value) else []
-                yield pd.DataFrame({"bucket": bucket[np.append(0, cuts)].astype(np.int32) if packed else np.empty(0, np.int32), "packed": packed})
+                packed = [part.tobytes() for part in np.split(source, cuts)] if len(source) else []
+                yield pd.DataFrame({"bucket": bucket[np.append(0, cuts)] if packed else bucket, "packed": packed})
 
     return nodes.mapInPandas(run, "bucket int, packed binary")
 
 
-def meet(packed: list[bytes], flips: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links between the smallest fingerprint that made a value and each other one that made it."""
-    sizes = [len(b) // 10 for b in packed]
-    value = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(packed, sizes, strict=True)])
-    number = np.concatenate([np.frombuffer(b, np.uint16, n, 8 * n) for b, n in zip(packed, sizes, strict=True)])
+def meet(sources: np.ndarray, name: int, bits: int, reach: int, radius: int) -> np.ndarray:
+    """Links of one bucket: between the smallest fingerprint with a value and each other one with it."""
+    flips = ball(reach)
+    own = parities(flips, bits)
+    order = np.argsort(own, kind="stable")
+    flips, own = flips[order], own[order]
+    wanted = parities(sources, bits) ^ name
+    low, high = np.searchsorted(own, wanted, "left"), np.searchsorted(own, wanted, "right")
+    n = high - low
+    at = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+    source = np.repeat(sources, n)
+    value = source ^ flips[at]
     ordered = np.sort(value)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
-        return []
+        return np.empty((0, 2), dtype=np.int64)
     hit = np.isin(value, twice)
-    value, source = value[hit], value[hit] ^ flips[number[hit]]
+    value, source = value[hit], source[hit]
     order = np.lexsort((source, value))
     value, source = value[order], source[order]
     first = np.append(True, value[1:] != value[:-1])
@@ -137,21 +144,24 @@ def meet(packed: list[bytes], flips: np.ndarray, radius: int) -> list[tuple[int,
     return np.unique(np.stack([least[near].view(np.int64), source[near].view(np.int64)], axis=1), axis=0)
 
 
-def _collide(dealt: DataFrame, reach: int, radius: int) -> DataFrame:
+def _collide(dealt: DataFrame, reach: int, radius: int, turn: int, pass_bits: int, bucket_bits: int) -> DataFrame:
     """Links ``(a, b)`` of each bucket; rows come sorted by bucket."""
 
+    def links(bucket: int, packed: list[bytes]) -> pd.DataFrame:
+        sources = np.frombuffer(b"".join(packed), dtype=np.uint64)
+        return pd.DataFrame(meet(sources, (int(bucket) << pass_bits) | turn, pass_bits + bucket_bits, reach, radius), columns=["a", "b"])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flips = ball(reach)
         bucket, held = None, []
         for frame in frames:
             for name, packed in zip(frame["bucket"], frame["packed"], strict=True):
                 if name != bucket and held:
-                    yield pd.DataFrame(meet(held, flips, radius), columns=["a", "b"])
+                    yield links(bucket, held)
                     held = []
                 bucket = name
                 held.append(packed)
         if held:
-            yield pd.DataFrame(meet(held, flips, radius), columns=["a", "b"])
+            yield links(bucket, held)
 
     return dealt.mapInPandas(run, "a long, b long")
 
@@ -163,13 +173,13 @@ def ball_links(nodes: DataFrame, radius: int = 4, passes: int = PASSES) -> DataF
     spark, n = nodes.sparkSession, nodes.count()
     slots = spark.sparkContext.defaultParallelism
     reach, pass_bits = radius // 2, passes.bit_length() - 1
-    size = n * len(ball(reach)) * 10 // passes
-    bucket_bits = min(16, max(math.ceil(math.log2(max(1, size / BUCKET_BYTES))), math.ceil(math.log2(4 * slots)) if n > CHUNK else 2))
+    values = n * len(ball(reach)) / passes
+    bucket_bits = min(24, max(math.ceil(math.log2(max(1, values / BUCKET_VALUES))), math.ceil(math.log2(4 * slots)) if n > CHUNK else 2))
     nodes = stage(nodes.select("fp").repartition(max(1, math.ceil(n / 65536), min(2 * slots, math.ceil(n / 256)))), "fingerprints")
     links = None
     for turn in range(passes):
         dealt = _emit(nodes, reach, turn, pass_bits, bucket_bits).repartition(1 << bucket_bits, "bucket").sortWithinPartitions("bucket")
-        found = stage(_collide(dealt, reach, radius).distinct(), "ball-links")
+        found = stage(_collide(dealt, reach, radius, turn, pass_bits, bucket_bits).distinct(), "ball-links")
         links = found if links is None else links.union(found)
         free_shuffles(spark)
     release(nodes)
