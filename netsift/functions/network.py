@@ -151,6 +151,16 @@ def ipv6_to_longs(ip: str | Column) -> Column:
     return F.when(ip.contains(":"), longs)
 
 
+def ip_key(ip: str | Column) -> Column:
+    """Text that sorts as the addresses do: the family, then 32 hex digits; NULL for anything else."""
+
+    def digits(x: Column) -> Column:
+        return F.lpad(F.hex(x), 16, "0")
+
+    wide = let(ipv6_to_longs(ip), lambda a: F.concat(F.lit("6"), digits(a["hi"]), digits(a["lo"])))
+    return F.coalesce(F.concat(F.lit("4"), F.lit("0" * 16), digits(ip_to_long(ip))), wide)
+
+
 def ip_value(ip: str | Column) -> Column:
     """The number of an IPv4 or IPv6 address as a double (exact below 2^53); 0 for anything else."""
 

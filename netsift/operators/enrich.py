@@ -10,11 +10,12 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netsift.functions.alerts import map_severity
 from netsift.functions.indicators import indicator_type, url_host
-from netsift.functions.network import ip_to_long, is_ip, is_private_ip
-from netsift.operators.ordering import row_numbers
+from netsift.functions.network import ip_key, is_ip, is_private_ip
+from netsift.operators.ordering import carry_last, row_numbers
 
 # Alert fields that hold addresses, host names and indicators.
 IP_FIELDS = ["source_ip", "destination_ip", "src_ip", "dst_ip", "ip"]
@@ -65,27 +66,38 @@ def alert_hostnames(alerts: DataFrame) -> Column:
     return F.array_distinct(F.concat(_field_values(alerts, HOSTNAME_FIELDS), _observed(alerts, ["domain", "hostname"]), hosts))
 
 
+def _range_key(geo: DataFrame, end: str) -> Column:
+    """Sort key of one end of a range: an IPv4 number, or an address of either family as text."""
+    if isinstance(geo.schema[end].dataType, T.StringType):
+        return ip_key(end)
+    return F.concat(F.lit("4"), F.lpad(F.hex(F.col(end).cast("long")), 32, "0"))
+
+
 def locate(addresses: DataFrame, geo: DataFrame, ip: str = "ip") -> DataFrame:
     """Distinct addresses with their location: ``ip``, ``is_private`` and the fields of ``geo``.
 
     Private addresses get a fixed record, others the range (``lo``..``hi``,
-    not overlapping) they lie in; unknown ones are left out. Ranges and
-    addresses meet in /16 blocks, so no range join is planned. A range in
-    several blocks is repeated, which adds at most 65536 rows in all.
+    not overlapping, of either family; numbers are IPv4) they lie in; unknown
+    ones are left out. Ranges and addresses are put into one order of 128-bit
+    keys, in which each address takes the last range that starts at or before
+    it (:func:`carry_last`): no pairs are formed, however wide a range is.
     """
     fields = [c for c in GEO_FIELDS if c in geo.columns]
     distinct = addresses.select(F.col(ip).alias("ip")).where(is_ip(ip)).distinct()
-    distinct = distinct.select("ip", ip_to_long("ip").alias("_n"), is_private_ip("ip").alias("is_private"))
+    distinct = distinct.select("ip", is_private_ip("ip").alias("is_private"))
     private = distinct.where("is_private").select(
         "ip",
         "is_private",
         *[F.lit(PRIVATE_GEO.get(c)).cast(geo.schema[c].dataType).alias(c) for c in fields],
     )
-    blocks = F.explode(F.sequence(F.floor(F.col("lo") / 65536), F.floor(F.col("hi") / 65536)))
-    ranges = geo.select("lo", "hi", *fields).withColumn("_block", blocks)
-    public = distinct.where("NOT is_private AND _n IS NOT NULL").withColumn("_block", F.floor(F.col("_n") / 65536))
-    found = public.join(ranges, "_block").where(F.col("_n").between(F.col("lo"), F.col("hi")))
-    return private.unionByName(found.select("ip", "is_private", *fields))
+    known = F.struct(_range_key(geo, "hi").alias("_to"), *fields)
+    ranges = geo.select(_range_key(geo, "lo").alias("_key"), known.alias("_range")).where("_key IS NOT NULL AND _range._to IS NOT NULL")
+    public = distinct.where("NOT is_private").select(ip_key("ip").alias("_key"), "ip")
+    both = ranges.select("_key", F.lit(None).cast("string").alias("ip"), "_range").unionByName(public, allowMissingColumns=True)
+    # a range comes before the addresses at its start
+    found = carry_last(both.withColumn("_kind", F.col("ip").isNotNull()), ["_key", "_kind"], "_range", "_range_at")
+    found = found.where("_kind AND _key <= _range_at._to").select("ip", F.lit(False).alias("is_private"), *[F.col(f"_range_at.{c}").alias(c) for c in fields])
+    return private.unionByName(found)
 
 
 def enrich_geoip(alerts: DataFrame, geo: DataFrame, row_id: str = "id", name: str = "geoip") -> DataFrame:

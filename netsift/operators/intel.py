@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.indicators import text_indicators
@@ -31,6 +31,31 @@ def match_ip_indicators(packets: DataFrame, indicators: DataFrame, row_id: str =
     return found.select(row_id, F.col("_e.field").alias("field"), F.col("_value").alias("value"))
 
 
+def feed_periods(snapshots: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """When each indicator was listed: (feed, indicator_type, value, ``valid_from``, ``valid_to``).
+
+    ``snapshots`` holds whole lists (feed, ``snapshot_at``, indicator_type, value). A list holds from its time
+    until that of the feed's next one; neighbouring lists with the same indicator are one period, so
+    periods of one indicator do not overlap. ``versions`` (feed, snapshot_at) names the lists where some
+    were empty. ``valid_to`` is NULL for what is still listed.
+    """
+    times = (snapshots if versions is None else versions).select("feed", "snapshot_at").where("snapshot_at IS NOT NULL").distinct()
+    by_feed = Window.partitionBy("feed").orderBy("snapshot_at")
+    times = times.select(F.col("feed").alias("_feed"), F.col("snapshot_at").alias("_at"), F.row_number().over(by_feed).alias("_no"), F.lead("snapshot_at").over(by_feed).alias("_until"))
+    own = ["feed", "indicator_type", "value"]
+    listed = snapshots.select(*own, "snapshot_at").distinct().join(times, F.col("feed").eqNullSafe(F.col("_feed")) & (F.col("snapshot_at") == F.col("_at")))
+    run = F.col("_no") - F.row_number().over(Window.partitionBy(*own).orderBy("_no"))
+    return listed.withColumn("_run", run).groupBy(*own, "_run").agg(F.min("_at").alias("valid_from"), F.max_by("_until", "_no").alias("valid_to")).drop("_run")
+
+
+def match_ip_as_of(packets: DataFrame, periods: DataFrame, row_id: str = "packet_id", ts: str = "ts") -> DataFrame:
+    """One row per packet, end and feed that listed the address at the packet's time: the batch may run before or after a refresh."""
+    ends = packets.select(row_id, F.col(ts).cast("timestamp").alias("_at"), F.explode(_address_candidates()).alias("_e"))
+    listed = periods.where("indicator_type = 'ip'").select("feed", F.col("value").alias("_value"), F.col("valid_from").cast("timestamp").alias("_from"), F.col("valid_to").cast("timestamp").alias("_to"))
+    held = (F.col("_e.value") == F.col("_value")) & (F.col("_at") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_at") < F.col("_to")))
+    return ends.join(listed, held).select(row_id, F.col("_e.field").alias("field"), F.col("_value").alias("value"), "feed")
+
+
 def match_text_indicators(df: DataFrame, text: str, indicators: DataFrame, row_id: str = "packet_id") -> DataFrame:
     """One row per text and listed domain or URL found in it."""
     tokens = df.select(row_id, F.explode(F.array_distinct(text_indicators(text))).alias("_e"))

@@ -199,6 +199,61 @@ def running_totals(
     return out.drop("_part", "_o_part", "_next_edge", *[f"_b_{n}" for n in sums], *[f"_k_{k}" for k in keys])
 
 
+def carry_last(rows: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the last non-null ``value`` at or before each row in one global order.
+
+    The rows are dealt out by ranges of the order, and the last value of each range is carried over into the
+    following ones, so no task holds more than one range. ``order`` should leave few ties.
+    """
+    ensure_checkpoints(rows.sparkSession)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once, because the cuts come from a sample and must not be drawn anew
+    placed = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    last = placed.where(F.col(value).isNotNull()).groupBy("_part").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    ranges = placed.select("_part").distinct().join(last, "_part", "left")
+    # one row per range of the order
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.select(F.col("_part").alias("_of"), F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn(name, F.last(value, ignorenulls=True).over(upto)).join(carried, F.col("_part") == F.col("_of"))
+    return out.withColumn(name, F.coalesce(name, "_carried")).drop("_part", "_of", "_carried")
+
+
+def prefix_sums(rows: DataFrame, order: Sequence[str], amount: str, name: str) -> DataFrame:
+    """Add the sum of ``amount`` over all rows up to and including each row of one global order without ties.
+
+    As :func:`carry_last`: ranges of the order are summed by themselves, and the sums of earlier ranges are added.
+    """
+    ensure_checkpoints(rows.sparkSession)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    # one row per range of the order
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("_part").agg(F.sum(amount).alias("_sum")).select(F.col("_part").alias("_of"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    upto = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn(name, F.sum(amount).over(upto)).join(before, F.col("_part") == F.col("_of"))
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_of", "_before")
+
+
+def grouped_medians(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, ``median``): the exact median per key; NULL and NaN values and rows without a key are left out.
+
+    Distinct values are counted, put into one order of (key, value) and numbered by running sums; each key's
+    middle ranks then name their values. No key is one task and nothing is collected, however many keys there are.
+    """
+    number = F.col(value).cast("double")
+    counts = df.select(F.col(key).alias("_key"), number.alias("_value")).where("_key IS NOT NULL AND _value IS NOT NULL AND NOT isnan(_value)")
+    counts = counts.groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = prefix_sums(counts, ["_key", "_value"], "_n", "_upto")
+    ends = ranked.groupBy("_key").agg(F.max("_upto").alias("_end"), F.sum("_n").alias("_all"))
+    ends = ends.select(F.col("_key").alias("_of"), (F.col("_end") - F.col("_all")).alias("_start"), "_all")
+    placed = ranked.join(ends, F.col("_key") == F.col("_of")).withColumn("_rank", F.col("_upto") - F.col("_start"))
+    middle = [F.expr("(_all - 1) DIV 2"), F.expr("_all DIV 2")]
+    holds = [F.when((F.col("_rank") - F.col("_n") <= m) & (m < F.col("_rank")), F.col("_value")) for m in middle]
+    found = placed.groupBy("_key").agg(*[F.max(h).alias(f"_m{i}") for i, h in enumerate(holds)])
+    return found.select(F.col("_key").alias(key), ((F.col("_m0") + F.col("_m1")) / 2).alias("median"))
+
+
 def order_values(
     df: DataFrame, ranks: dict[str, Callable[[int], Sequence[int]]], exact_limit: int = EXACT_LIMIT
 ) -> dict[str, tuple[int, dict[int, float]]]:
@@ -330,35 +385,43 @@ def sliced_scan(
     tie: Sequence[str],
     summarise: Callable[[int, pd.DataFrame], pd.DataFrame],
     summary_schema: str,
-    fold: Callable[[pd.DataFrame], pd.DataFrame],
+    fold: Callable[..., pd.DataFrame],
     state_schema: str,
     apply: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     out_schema: T.StructType,
+    compose: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    fan: int = 16,
 ) -> DataFrame:
     """A sequential recurrence per key, run as three parallel passes over slices.
 
     1. ``summarise(slice, rows)`` describes what one slice does to any entry state;
-    2. ``fold`` walks a key's slice summaries (no rows) and gives each slice its
-       entry state;
+    2. ``fold`` walks slice summaries (no rows) and gives each slice its entry state;
     3. ``apply(rows, state)`` runs the recurrence inside the slice from that state.
-    A key is thus never one task, only its list of slice summaries is. ``cut``
+    A key is thus never one task, only its list of slice summaries is. With ``compose``,
+    which describes a run of slices as one, not even that: summaries are composed in a tree,
+    ``fan`` at a time, and ``fold(parts, entry)`` hands entry states down it. ``cut``
     has ``_us`` and ``_cut`` (see :func:`time_cuts`); rows reach the functions
     sorted by ``_us`` and the tie columns.
     """
     keys, order = list(keys), ["_us", *tie]
     key_fields = ", ".join([*(f"{k} {cut.schema[k].dataType.simpleString()}" for k in keys), "_cut long"])
 
-    def first_pass(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        part = summarise(key[-1], rows.sort_values(order, kind="stable").reset_index(drop=True))
-        for i, k in enumerate([*keys, "_cut"]):
+    def labelled(part: pd.DataFrame, names: Sequence[str], key: tuple) -> pd.DataFrame:
+        for i, k in enumerate(names):
             part[k] = [key[i]] * len(part)
         return part
 
+    def first_pass(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return labelled(summarise(key[-1], rows.sort_values(order, kind="stable").reset_index(drop=True)), [*keys, "_cut"], key)
+
     def second_pass(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        part = fold(rows.sort_values("_cut", kind="stable").reset_index(drop=True))
-        for i, k in enumerate(keys):
-            part[k] = [key[i]] * len(part)
-        return part
+        return labelled(fold(rows.sort_values("_cut", kind="stable").reset_index(drop=True)), keys, key)
+
+    def up_pass(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return labelled(compose(rows.sort_values("_cut", kind="stable").reset_index(drop=True)), [*keys, "_cut"], key)
+
+    def down_pass(key: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        return labelled(fold(rows.sort_values("_cut", kind="stable").reset_index(drop=True), entry.iloc[0]), keys, key)
 
     def third_pass(key: tuple, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
@@ -366,7 +429,23 @@ def sliced_scan(
         return apply(rows.sort_values(order, kind="stable").reset_index(drop=True), state)[out_schema.fieldNames()]
 
     summaries = cut.groupBy(*keys, "_cut").applyInPandas(first_pass, f"{key_fields}, {summary_schema}")
-    states = summaries.groupBy(*keys).applyInPandas(second_pass, f"{key_fields}, {state_schema}")
+    if compose is None:
+        states = summaries.groupBy(*keys).applyInPandas(second_pass, f"{key_fields}, {state_schema}")
+    else:
+        ensure_checkpoints(cut.sparkSession)
+        levels = [summaries.checkpoint()]
+        low, high = levels[0].agg(F.min("_cut"), F.max("_cut")).first()
+        up = F.floor(F.col("_cut") / F.lit(fan)).cast("long")
+        width = 1 if low is None else high // fan - low // fan + 1
+        while width > 1:
+            level = levels[-1].withColumn("_up", up).groupBy(*keys, "_up").applyInPandas(up_pass, f"{key_fields}, {summary_schema}")
+            levels.append(level.checkpoint())
+            low, high = low // fan, high // fan
+            width = high // fan - low // fan + 1
+        states = levels[-1].groupBy(*keys).applyInPandas(second_pass, f"{key_fields}, {state_schema}")
+        for level in levels[-2::-1]:
+            parts, entries = level.withColumn("_up", up).groupBy(*keys, "_up"), states.groupBy(*keys, "_cut")
+            states = parts.cogroup(entries).applyInPandas(down_pass, f"{key_fields}, {state_schema}")
     return (
         cut.groupBy(*keys, "_cut")
         .cogroup(states.groupBy(*keys, "_cut"))

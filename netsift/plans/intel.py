@@ -318,6 +318,37 @@ def geoip(spark, sf_dir):
     return out.select("id", F.explode("geoip").alias("ip", "g")).select("id", "ip", "g.is_private", "g.country_code", "g.country_name", "g.city")
 
 
+_V6 = "concat('2a00:', lower(hex(c_nationkey)), ':', CASE WHEN c_custkey % 3 = 0 THEN '8000' ELSE '1' END, '::', lower(hex(c_custkey % 65536)))"
+
+
+def mixed_addresses(spark, sf_dir):
+    """An IPv6 address per customer, and an IPv4 address per supplier, some private, some without a range."""
+    six = table(spark, sf_dir, "customer").selectExpr(f"{_V6} AS ip").unionByName(table(spark, sf_dir, "supplier").selectExpr("concat('fd00::', lower(hex(s_suppkey % 65536))) AS ip"))
+    four = table(spark, sf_dir, "supplier").selectExpr("concat('185.', CAST(s_suppkey % 256 AS STRING), '.35.7') AS ip")
+    return six.unionByName(four)
+
+
+def mixed_ranges(spark, sf_dir):
+    """A range of either family per nation but every fifth: the lower half of its IPv6 network, and one IPv4 network."""
+    nations = table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0")
+    names = ["concat('N', n_nationkey) AS country_code", "n_name AS country_name"]
+    six = nations.selectExpr("concat('2a00:', lower(hex(n_nationkey)), '::') AS lo", "concat('2a00:', lower(hex(n_nationkey)), ':7fff:ffff:ffff:ffff:ffff:ffff') AS hi", *names)
+    return six.unionByName(nations.selectExpr("concat('185.', CAST(n_nationkey AS STRING), '.0.0') AS lo", "concat('185.', CAST(n_nationkey AS STRING), '.255.255') AS hi", *names))
+
+
+@query(
+    "d6_locate_mixed",
+    """WITH six AS (SELECT DISTINCT '2a00:' || lower(to_hex(c_nationkey)) || ':' || CASE WHEN c_custkey % 3 = 0 THEN '8000' ELSE '1' END || '::'
+        || lower(to_hex(c_custkey % 65536)) AS ip, c_nationkey AS n, c_custkey % 3 <> 0 AS low FROM customer),
+      four AS (SELECT DISTINCT '185.' || CAST(s_suppkey % 256 AS VARCHAR) || '.35.7' AS ip, s_suppkey % 256 AS n FROM supplier)
+    SELECT ip, false AS is_private, 'N' || CAST(n_nationkey AS VARCHAR) AS country_code, n_name AS country_name FROM six JOIN nation ON n = n_nationkey AND low AND n % 5 <> 0
+    UNION ALL SELECT ip, false, 'N' || CAST(n_nationkey AS VARCHAR), n_name FROM four JOIN nation ON n = n_nationkey AND n % 5 <> 0
+    UNION ALL SELECT DISTINCT 'fd00::' || lower(to_hex(s_suppkey % 65536)), true, '**', 'Private IP' FROM supplier""",
+)
+def locate_mixed(spark, sf_dir):
+    return E.locate(mixed_addresses(spark, sf_dir), mixed_ranges(spark, sf_dir))
+
+
 def dns_table(spark, sf_dir):
     return table(spark, sf_dir, "events").selectExpr(
         "concat('10.0.', CAST(user_id % 4 AS STRING), '.', CAST(user_id % 100 AS STRING)) AS ip",

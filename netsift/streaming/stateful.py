@@ -10,19 +10,104 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from netsift.functions.alerts import alert_envelope
 from netsift.operators import rules as R
 from netsift.operators.ordering import epoch_micros, seconds_to_micros
 
 
-def _expire(state: GroupState, us: int) -> None:
-    """Drop the state once event time has passed ``us`` microseconds."""
-    state.setTimeoutTimestamp(max(us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Chained state needs the RocksDB store: a session that still has Spark's default store gets it, another choice is an error."""
+    now = spark.conf.get(PROVIDER)
+    if now != ROCKSDB and not now.endswith("HDFSBackedStateStoreProvider"):
+        raise ValueError(f"set {PROVIDER} to {ROCKSDB}")
+    spark.conf.set(PROVIDER, ROCKSDB)
+
+
+def _in_window(times: np.ndarray, us: np.ndarray, span: int) -> np.ndarray:
+    """How many of the sorted times lie in the ``span`` up to each of ``us``, ends included."""
+    return np.searchsorted(times, us, "right") - np.searchsorted(times, us - span, "left")
+
+
+def thin_busy_keys(narrow: DataFrame, count: int, span: int) -> DataFrame:
+    """Mark what a batch of rows (``track_key``, ``us``) already decides: adds ``sure`` and ``counted``.
+
+    A packet with ``count`` packets of its key in its own batch of rows is ``sure`` wherever it goes on. The
+    others' windows need no more of them than the first and last ``count`` of each stretch of ``span``, which
+    are ``counted``: a window covers the end of one stretch and the start of the next. So a busy key sends
+    a bounded number of rows per stretch and batch to its state, however many packets it has.
+    """
+    wide = max(span, 1)
+
+    def marks(keys: pd.Series, us: pd.Series) -> pd.DataFrame:
+        order = np.lexsort((us.to_numpy(), codes := pd.factorize(keys)[0]))
+        us, codes = us.to_numpy(dtype=np.int64)[order], codes[order]
+        sure, counted = np.zeros(len(us), dtype=bool), np.zeros(len(us), dtype=bool)
+        cuts = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(us))
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            times = us[start:end]
+            stretch, at = times // wide, np.arange(end - start)
+            first, last = np.searchsorted(stretch, stretch, "left"), np.searchsorted(stretch, stretch, "right")
+            sure[order[start:end]] = _in_window(times, times, span) >= count
+            counted[order[start:end]] = (at - first < count) | (last - at <= count)
+        return pd.DataFrame({"sure": sure, "counted": counted})
+
+    @F.pandas_udf("sure boolean, counted boolean")
+    def marked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for keys, us in batches:
+            yield marks(keys, us) if len(us) else pd.DataFrame({"sure": np.empty(0, dtype=bool), "counted": np.empty(0, dtype=bool)})
+
+    # what it gives depends on how the rows fall into batches
+    return narrow.withColumn("_marks", marked.asNondeterministic()("track_key", "us")).select("*", "_marks.*").drop("_marks")
+
+
+def _decide(old: np.ndarray, us: np.ndarray, count: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a key's new packets are hits, and the times to keep: the last ``count - 1`` that are not too old."""
+    times = np.sort(np.concatenate([old, us]))
+    hit = _in_window(times, us, span) >= count
+    kept = times[times >= times[-1] - span]
+    return hit, kept[max(len(kept) - count + 1, 0) :]
+
+
+class RateProcessor(StatefulProcessor):
+    """A key's state is a list of at most ``count - 1`` times; a timer drops it once event time has passed them."""
+
+    def __init__(self, row_id: str, count: int, span: int) -> None:
+        self.row_id, self.count, self.span = row_id, count, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values("us", kind="stable")
+        old = np.array([t for (t,) in self.times.get()] if self.times.exists() else [], dtype=np.int64)
+        hit, kept = _decide(old, new["us"].to_numpy(dtype=np.int64), self.count, self.span)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(kept):
+            self.times.put([(int(t),) for t in kept])
+            self.handle.registerTimer(max((int(kept[-1]) + self.span) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        elif self.times.exists():
+            self.times.clear()
+        found = new[hit & ~new["sure"].to_numpy(dtype=bool)]
+        yield pd.DataFrame({"track_key": key[0], self.row_id: found[self.row_id].to_numpy(), "ts": found["ts"].to_numpy()})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.times.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def rate_stream(
@@ -30,11 +115,12 @@ def rate_stream(
 ) -> DataFrame:
     """Packets that complete ``count`` packets of their key in ``seconds``: (key, row id, ts).
 
-    The state of a key is its packet times of the last ``seconds``. Within a
-    batch packets count in time order, those of the same instant for each
-    other; a late packet is compared with the times still kept.
+    Batches of rows decide busy keys on their own (:func:`thin_busy_keys`); the state of a key
+    is its last ``count - 1`` packet times of the last ``seconds``. Within a batch packets count
+    in time order, those of the same instant for each other; a late packet is compared with the
+    times still kept. With the RocksDB store the result may feed further stateful steps.
     """
-    span = seconds_to_micros(seconds)
+    span, count = seconds_to_micros(seconds), max(int(count), 1)
     port = F.col("dst_port").cast("string")
     key = {
         "ip": F.col("src_ip"),
@@ -42,71 +128,108 @@ def rate_stream(
         "ip_port": F.concat(F.coalesce("src_ip", F.lit("")), F.lit(":"), F.coalesce(port, F.lit(""))),
     }[track_by]
     narrow = stream.select(key.alias("track_key"), F.col(row_id), F.col(ts).alias("ts"), epoch_micros(ts).alias("us"))
-    narrow = narrow.where((F.col("track_key") != "") & F.col("us").isNotNull())
+    marked = thin_busy_keys(narrow.where((F.col("track_key") != "") & F.col("us").isNotNull()), count, span)
+    sure = marked.where("sure").select("track_key", row_id, "ts")
+    open_rows = marked.where("counted OR NOT sure").groupBy("track_key")
     id_field = stream.schema[row_id]
-    out = T.StructType([T.StructField("track_key", T.StringType()), id_field, T.StructField("us", T.LongType())])
+    out = T.StructType([T.StructField("track_key", T.StringType()), id_field, T.StructField("ts", T.TimestampType())])
+    if stream.sparkSession.conf.get(PROVIDER) == ROCKSDB:
+        found = open_rows.transformWithStateInPandas(RateProcessor(row_id, count, span), out, "Append", "EventTime", eventTimeColumnName="ts")
+        return sure.union(found)
     kept = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(frames)).sort_values("us", kind="stable")
-        old = np.array(state.get[0] if state.exists else [], dtype=np.int64)
-        us = rows["us"].to_numpy()
-        times = np.sort(np.concatenate([old, us]))
-        seen = np.searchsorted(times, us, "right") - np.searchsorted(times, us - span, "left")
-        times = times[times >= times[-1] - span]
+        hit, times = _decide(np.array(state.get[0] if state.exists else [], dtype=np.int64), rows["us"].to_numpy(dtype=np.int64), count, span)
         state.update((times.tolist(),))
-        _expire(state, int(times[-1]) + span)
-        hit = rows[seen >= count]
-        yield pd.DataFrame({"track_key": key[0], row_id: hit[row_id].to_numpy(), "us": hit["us"].to_numpy()})
+        last = int(times[-1]) + span if len(times) else 0
+        state.setTimeoutTimestamp(max(last // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        found = rows[hit & ~rows["sure"].to_numpy(dtype=bool)]
+        yield pd.DataFrame({"track_key": group[0], row_id: found[row_id].to_numpy(), "ts": found["ts"].to_numpy()})
+
+    return sure.union(open_rows.applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+class EwmaProcessor(StatefulProcessor):
+    """A feature's state is its mean and variance. It may start from a saved row, and is dropped when unused for the given time."""
+
+    def __init__(self, key: str, tie: str, alpha: float, k: float, unused_ms: int | None) -> None:
+        self.key, self.tie, self.alpha, self.k, self.unused_ms = key, tie, alpha, k, unused_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.level = handle.getValueState("level", "m double, s double", self.unused_ms)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        row = initialState.iloc[0]
+        if pd.notna(row["ewma"]):
+            self.level.update((float(row["ewma"]), float(row["ewmvar"])))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = self.level.get() if self.level.exists() else None
+        out, after = ewma_rows(pd.concat(list(rows)), before, self.key, key[0], self.tie, self.alpha, self.k)
+        self.level.update(after)
+        yield out
 
-    found = narrow.groupBy("track_key").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
-    return found.select("track_key", row_id, F.timestamp_micros("us").alias("ts"))
+    def close(self) -> None:
+        pass
+
+
+def ewma_rows(rows: pd.DataFrame, state: tuple | None, key: str, name, tie: str, alpha: float, k: float) -> tuple[pd.DataFrame, tuple[float, float]]:
+    """One batch of a feature, in time order, after the state: its rows with thresholds and flags, and the state after them."""
+    rows = rows.sort_values(["us", tie], kind="stable")
+    v = rows["value"].to_numpy()
+    m, s = (float(v[0]), 0.0) if state is None else state
+
+    def smooth(first: float, values: np.ndarray) -> np.ndarray:
+        return pd.Series(np.concatenate([[first], values])).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+
+    level = smooth(m, v)
+    spread = smooth(s, (1.0 - alpha) * (v - level[:-1]) ** 2)
+    limit = level + k * np.sqrt(spread)
+    before = limit[:-1].copy()
+    if state is None:
+        before[0] = np.inf
+    columns = {"us": rows["us"].to_numpy(), "value": v, "ewma": level[1:], "ewmvar": spread[1:], "threshold": limit[1:], "previous_threshold": before, "is_anomaly": v > before}
+    return pd.DataFrame({key: name, tie: rows[tie].to_numpy(), **columns}), (float(level[-1]), float(spread[-1]))
 
 
 def ewma_stream(
-    stream: DataFrame, key: str = "feature", ts: str = "ts", tie: str = "row_id", value: str = "value", alpha: float = 0.3, k: float = 3.0
+    stream: DataFrame,
+    key: str = "feature",
+    ts: str = "ts",
+    tie: str = "row_id",
+    value: str = "value",
+    alpha: float = 0.3,
+    k: float = 3.0,
+    initial: DataFrame | None = None,
+    unused_seconds: float | None = None,
 ) -> DataFrame:
     """Thresholds and flags per feature; the state is mean and variance.
 
-    Rows enter in arrival order of the batches, and in time order within one.
+    Rows enter in arrival order of the batches, and in time order within one. ``initial`` (key, ``ewma``,
+    ``ewmvar``), as ``load_threshold_state`` gives it, continues earlier series; the state of a feature
+    without rows for ``unused_seconds`` is dropped, and the feature starts anew. Both need the RocksDB store.
     """
-    keep = 1.0 - alpha
     narrow = stream.where(F.col(value).isNotNull()).select(key, tie, epoch_micros(ts).alias("us"), F.col(value).cast("double").alias("value"))
-    numbers = [T.StructField(c, T.DoubleType()) for c in ("value", "ewma", "threshold", "previous_threshold")]
+    numbers = [T.StructField(c, T.DoubleType()) for c in ("value", "ewma", "ewmvar", "threshold", "previous_threshold")]
     out = T.StructType(
         [stream.schema[key], stream.schema[tie], T.StructField("us", T.LongType()), *numbers, T.StructField("is_anomaly", T.BooleanType())]
     )
+    if initial is not None or unused_seconds is not None:
+        use_rocksdb(stream.sparkSession)
+        unused = None if unused_seconds is None else max(int(unused_seconds * 1000), 1)
+        start = None if initial is None else initial.select(key, F.col("ewma").cast("double"), F.col("ewmvar").cast("double")).groupBy(key)
+        found = narrow.groupBy(key).transformWithStateInPandas(EwmaProcessor(key, tie, alpha, k, unused), out, "Append", "ProcessingTime", initialState=start)
+        return found.withColumn(ts, F.timestamp_micros("us")).drop("us")
     kept = T.StructType([T.StructField("m", T.DoubleType()), T.StructField("s", T.DoubleType())])
 
-    def smooth(first: float, values: np.ndarray) -> np.ndarray:
-        return pd.Series(np.concatenate([[first], values])).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["us", tie], kind="stable")
-        v = rows["value"].to_numpy()
-        m, s = state.get if state.exists else (float(v[0]), 0.0)
-        level = smooth(m, v)
-        spread = smooth(s, keep * (v - level[:-1]) ** 2)
-        limit = level + k * np.sqrt(spread)
-        before = limit[:-1].copy()
-        if not state.exists:
-            before[0] = np.inf
-        state.update((float(level[-1]), float(spread[-1])))
-        yield pd.DataFrame(
-            {
-                key: group[0],
-                tie: rows[tie].to_numpy(),
-                "us": rows["us"].to_numpy(),
-                "value": v,
-                "ewma": level[1:],
-                "threshold": limit[1:],
-                "previous_threshold": before,
-                "is_anomaly": v > before,
-            }
-        )
+        rows, after = ewma_rows(pd.concat(list(frames)), state.get if state.exists else None, key, group[0], tie, alpha, k)
+        state.update(after)
+        yield rows
 
     found = narrow.groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
     return found.withColumn(ts, F.timestamp_micros("us")).drop("us")
@@ -136,43 +259,53 @@ def debounce_stream(stream: DataFrame, key: str, row_id: str, seconds: float = 2
     return found.select(key, row_id, F.timestamp_micros("us").alias(ts))
 
 
-def _split_rules(rules: Sequence[R.SignatureRule]) -> tuple[list[R.SignatureRule], list[tuple[R.SignatureRule, R.RateRule, list]]]:
-    """(rules without state, [(rule, its rate rule, rules that must pass first)])."""
+def _split_rules(rules: Sequence[R.SignatureRule]) -> tuple[list[tuple[int, R.SignatureRule]], list[tuple[int, R.RateRule, list]]]:
+    """(place and rule of the rules without state, [(place, rate rule, rules that must pass first)])."""
     plain, stateful = [], []
-    for rule in rules:
+    for place, rule in enumerate(rules):
         if isinstance(rule, R.RateRule):
-            stateful.append((rule, rule, []))
+            stateful.append((place, rule, []))
         elif isinstance(rule, R.CompositeRule) and any(isinstance(s, R.RateRule) for s in rule.subrules):
             *before, last = rule.subrules
             if rule.operator != "and" or not isinstance(last, R.RateRule) or any(isinstance(s, R.RateRule) for s in before):
                 raise ValueError(f"on a stream a rate rule must come last in an 'and' rule: {rule.rule_id}")
-            stateful.append((rule, last, before))
+            stateful.append((place, last, before))
         else:
-            plain.append(rule)
+            plain.append((place, rule))
     return plain, stateful
 
 
 def detect_stream(stream: DataFrame, rules: Sequence[R.SignatureRule], row_id: str = "packet_id", ts: str = "ts") -> DataFrame:
-    """Alerts of a packet stream: the first plain rule per packet, and each rate rule's hits.
+    """One alert for each packet of a stream that matches a rule: the first in list order, with its envelope.
 
-    Plain rules keep the whole alert envelope; hits of rate rules carry the
-    packet's id, time and key (its address or port).
+    The result is that of :func:`rules.check_signatures`, with ``timestamp``, rule fields, ``source`` and the
+    ``type``, ``data`` and ``packet`` of the alert envelope. Rate rules are decided by :func:`rate_stream`;
+    their hits meet the packets again in an outer join on id and time, so a packet waits for the watermark
+    only if no rate rule hits it. Packets without id or time raise no alert where there are rate rules. Ids are
+    taken to be unique.
     """
     plain, stateful = _split_rules(rules)
-    fields = ["rule_id", "rule_name", "severity"]
-    parts = []
-    if plain:
-        hits = R.check_signatures(stream, plain, ts)
-        alerts = alert_envelope(hits, "signature", fields, ts, keep=[row_id])
-        parts.append(alerts.select(row_id, "timestamp", *[F.col(f"data.{c}").alias(c) for c in fields], F.col("packet.src_ip").alias("source")))
-    for rule, rate, before in stateful:
-        passed = stream
-        for needed in before:
-            passed = passed.where(needed.column())
-        hits = rate_stream(passed, rate.track_by, rate.count, rate.seconds, row_id, ts)
-        names = {"rule_id": rule.rule_id, "rule_name": rule.name, "severity": rule.severity}
-        parts.append(hits.select(row_id, F.col("ts").alias("timestamp"), *[F.lit(v).alias(c) for c, v in names.items()], F.col("track_key").alias("source")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    flagged, names = R.evaluate_rules(stream, [rule for _, rule in plain], ts) if plain else (stream, [])
+    first = F.coalesce(*[F.when(F.col(n), F.lit(place)) for n, (place, _) in zip(names, plain, strict=True)], F.lit(None).cast("int"))
+    packets = flagged.withColumn("_plain", first).drop(*names)
+    if stateful:
+        use_rocksdb(stream.sparkSession)
+        hits = None
+        for place, rate, before in stateful:
+            passed = stream
+            for needed in before:
+                passed = passed.where(F.coalesce(needed.column(), F.lit(False)))
+            own = rate_stream(passed, rate.track_by, rate.count, rate.seconds, row_id, ts)
+            own = own.select(F.col("ts").alias("_at"), F.col(row_id).alias("_of"), F.lit(place).alias("_rate"))
+            hits = own if hits is None else hits.union(own)
+        if len(stateful) > 1:
+            hits = hits.groupBy("_at", "_of").agg(F.min("_rate").alias("_rate"))
+        packets = packets.join(hits, (F.col(row_id) == F.col("_of")) & (F.col(ts) == F.col("_at")), "left").drop("_of", "_at")
+    else:
+        packets = packets.withColumn("_rate", F.lit(None).cast("int"))
+    fields = ["rule_id", "rule_name", "rule_description", "severity"]
+    known = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, (r.rule_id, r.name, r.description, r.severity), strict=True)]) for r in rules])
+    chosen = packets.withColumn("_first", F.least("_plain", "_rate")).where("_first IS NOT NULL").withColumn("_rule", F.element_at(known, F.col("_first") + 1))
+    named = chosen.withColumns({f: F.col(f"_rule.{f}") for f in fields})
+    alerts = alert_envelope(named, "signature", fields, ts, keep=[row_id])
+    return alerts.select(row_id, "timestamp", *[F.col(f"data.{f}").alias(f) for f in fields], F.col("packet.src_ip").alias("source"), "type", "data", "packet")
