@@ -37,7 +37,7 @@ from netsift.llm.common import bound_batches, free_shuffles, release, slices, st
 #: levels of the trie that are walked one by one after the edit
 LEVELS = 24
 #: distinct words that a task counts at once
-HELD = 250_000
+HELD = 100_000
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _STATE = "side", "word", "node", "rest"
 
@@ -105,11 +105,10 @@ def _spend_edit(spelt: DataFrame, edges: DataFrame) -> DataFrame:
     at = F.explode(F.sequence(F.expr("char_length(spelt) DIV 2").cast("int"), F.char_length("spelt")))
     own = spelt.select("side", "word", "spelt", at.alias("at")).select("side", "word", F.expr("substring(spelt, 1, at)").alias("node"), F.expr("substring(spelt, at + 1)").alias("left"))
     met = own.join(edges, ["side", "node"])
-    child = F.concat("node", "ch")
-    # the pair is also seen from its other word, so one order of the two letters will do
-    other = met.where((F.col("left") != "") & (F.col("ch") > F.substring("left", 1, 1))).select("side", "word", child.alias("node"), F.expr("substring(left, 2)").alias("rest"), "sizes", "tails", "ends")
-    more = met.select("side", "word", child.alias("node"), F.col("left").alias("rest"), "sizes", "tails", "ends")
-    return _possible(other.unionByName(more)).select(*_STATE, "ends")
+    # another letter: the pair is also seen from its other word, so one order of the two letters will do
+    rests = F.array(F.when((F.col("left") != "") & (F.col("ch") > F.substring("left", 1, 1)), F.expr("substring(left, 2)")), F.col("left"))
+    states = met.select("side", "word", F.concat("node", "ch").alias("node"), F.explode(F.array_compact(rests)).alias("rest"), "sizes", "tails", "ends")
+    return _possible(states).select(*_STATE, "ends")
 
 
 def near_words(words: DataFrame, levels: int = LEVELS) -> DataFrame:
