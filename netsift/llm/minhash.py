@@ -25,9 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import release, stage
+from netsift.llm.common import free_shuffles, release, stage
 from netsift.llm.components import connected_components
 
+#: band keys that meet in one bucket, about, and bits of the table of repeated keys
+BUCKET_KEYS, KEY_BITS = 1 << 21, 1 << 25
 LEADER_ROUNDS = 5
 #: signature comparisons per item at which another leader is tried before the blocks
 MOST_COMPARISONS = 2000
@@ -204,6 +206,98 @@ def _block_links(open_members: DataFrame, shape: DataFrame, signed: DataFrame, t
     return both.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb").mapInPandas(run, "a long, b long").distinct()
 
 
+def _least_and_most(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same keys with their smallest and their largest id: one row for a key with one id, else two."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    edge = keys[1:] != keys[:-1]
+    first, last = np.append(True, edge), np.append(edge, True)
+    least = ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]
+    keep = first | (last & (ids != least))
+    return keys[keep], ids[keep]
+
+
+def repeated_keys(items: DataFrame, bands: int) -> DataFrame:
+    """``(key)``: the band keys that at least two ids of ``(id, keys)`` have.
+
+    Keys travel packed and by bucket; of each key a task sends and keeps two ids at most, so a key that
+    a large share of all items has is as small as any other.
+    """
+    spark = items.sparkSession
+    size = max(1, items.count() * bands / BUCKET_KEYS)
+    buckets = 1 << max(math.ceil(math.log2(size)), math.ceil(math.log2(2 * spark.sparkContext.defaultParallelism)) if size > 0.05 else 1)
+
+    def bucket_of(keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (buckets - 1)
+
+    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            keys = np.concatenate(frame["keys"].to_numpy()).astype(np.int64)
+            keys, ids = _least_and_most(keys, np.repeat(frame["id"].to_numpy(dtype=np.int64), frame["keys"].map(len)))
+            bucket = bucket_of(keys)
+            order = np.argsort(bucket, kind="stable")
+            bucket, both = bucket[order], np.stack([keys[order], ids[order]], axis=1)
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            yield pd.DataFrame({"bucket": bucket[np.append(0, cuts)].astype(np.int32), "packed": [part.tobytes() for part in np.split(both, cuts)]})
+
+    def repeated(both: np.ndarray) -> pd.DataFrame:
+        keys, _ = _least_and_most(both[:, 0], both[:, 1])
+        return pd.DataFrame({"key": keys[1:][keys[1:] == keys[:-1]]})
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, held, rows = None, [], 0
+        for frame in frames:
+            for name, packed in zip(frame["bucket"], frame["packed"], strict=True):
+                if name != bucket and held:
+                    yield repeated(np.concatenate(held))
+                    held, rows = [], 0
+                bucket = name
+                held.append(np.frombuffer(packed, dtype=np.int64).reshape(-1, 2))
+                rows += len(held[-1])
+                if rows > 2 * BUCKET_KEYS:
+                    both = np.concatenate(held)
+                    held = [np.stack(_least_and_most(both[:, 0], both[:, 1]), axis=1)]
+                    rows = min(len(held[0]), BUCKET_KEYS)
+        if held:
+            yield repeated(np.concatenate(held))
+
+    dealt = items.select("id", "keys").mapInPandas(emit, "bucket int, packed binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInPandas(meet, "key long")
+
+
+def bucket_members(items: DataFrame, bands: int) -> DataFrame:
+    """``(key, id)`` of all keys that at least two ids have.
+
+    A bit table of fixed size tells the tasks which keys may repeat, so the others are not shuffled; it
+    may be full on a huge table, then they are. The join decides.
+    """
+    spark = items.sparkSession
+    multi = stage(repeated_keys(items, bands), "repeated-keys")
+    free_shuffles(spark)
+    at = F.shiftright("key", 8).bitwiseAND(F.lit(KEY_BITS - 1))
+    words = multi.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    table = np.zeros(KEY_BITS // 64, dtype=np.uint64)
+    table[words["word"]] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            keys = np.concatenate(frame["keys"].to_numpy()).astype(np.int64)
+            ids = np.repeat(frame["id"].to_numpy(dtype=np.int64), frame["keys"].map(len))
+            at = (keys >> 8) & (KEY_BITS - 1)
+            hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+            yield pd.DataFrame({"key": keys[hit], "id": ids[hit]}).drop_duplicates()
+
+    out = stage(items.select("id", "keys").mapInPandas(run, "key long, id long").join(multi, "key").distinct(), "bucket-members")
+    release(multi)
+    free_shuffles(spark)
+    return out
+
+
 def similar_groups(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], bands: Bands, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Components of the links with similarity at least ``num / den``.
 
@@ -211,9 +305,7 @@ def similar_groups(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     ``texts_of`` gets a table of ids and returns their ``(id, text)``. Returns ``(id, component)`` of
     linked items, and the confirmed links ``(a, b)`` that the components rest on.
     """
-    exploded = items.select("id", F.explode("keys").alias("key"))
-    multi = exploded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    members = stage(exploded.join(multi, "key").distinct(), "bucket-members")
+    members = bucket_members(items, bands.bands)
     ids = stage(members.select("id").distinct(), "bucket-ids")
     signed = stage(items.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "bucket-signatures")
     texts = stage(texts_of(ids), "bucket-texts")
@@ -255,6 +347,7 @@ def similar_groups(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         if blocks:
             break
     release(members, ids, signed, texts, *([labelled, shape] if shape is not None else []))
+    free_shuffles(items.sparkSession)
     if links is None:
         empty = items.sparkSession.createDataFrame([], "a long, b long")
         return empty.select(F.col("a").alias("id"), F.col("b").alias("component")), empty

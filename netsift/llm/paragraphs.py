@@ -15,16 +15,17 @@ otherwise new text stays.
 Passages that keep no line breaks come second (``repeated_spans``). Places of a text
 are chosen by its words alone (minima of hashed word runs over a moving window), so
 texts that share a run of 23 words share a place in it, wherever their lines break.
-Each place leads to the first document with it, and so does each three neighbouring
-places together; both texts are then compared word by word outwards from there, over
-single changed, missing or added words. A stretch of more than ``span_words`` words,
-four fifths of them equal, is a passage, and the words of it that the paragraphs have
-left are cut. Whole lines too short to be paragraphs stay where fewer than
-``min_words`` words are left together.
+Each place leads to the first document with it and to the one before in the order of
+ids. Documents that meet at two places or more are compared word by word outwards
+from there, over single changed, missing or added words. A stretch of more than
+``span_words`` words, four fifths of them equal, is a passage, and the words of it
+that the paragraphs have left are cut. Whole lines too short to be paragraphs stay
+where fewer than 30 words are left together.
 
 Edge cases: null and empty texts have no paragraphs; repeats inside one document
 stay; rows that share an id and a text are one document, those that share only the
-id are told apart by a hash of the text; rows without an id are left alone.
+id are told apart by a hash of the text; rows without an id are left alone. Ids are
+whole numbers.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.llm.common import release, slices, stage
+from netsift.llm.common import free_shuffles, release, slices, stage
 from netsift.llm.minhash import Bands, shingle_hashes, similar_groups, words
 
 
@@ -95,6 +96,20 @@ def paragraphs(docs: DataFrame, shingle: int, bands: Bands, min_paragraph: int)
     return docs.mapInPandas(run, "doc long, copy long, pos int, idx int, n_words int, id long, n int, keys array<long>, sig binary")
 
 
+def _repeated_ids(docs: DataFrame, id_col: str) -> DataFrame:
+    """Ids of more than one row: only these documents need a hash of the text beside the id."""
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc")).count()
+    return stage(ids.where("count > 1").select("doc", F.lit(True).alias("again")), "repeated-ids")
+
+
+def _named(docs: DataFrame, again: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc, copy, text)``; ``copy`` is 0 where the id has one row."""
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    if again.isEmpty():
+        return own.select("doc", F.lit(0).cast("long").alias("copy"), "text")
+    return own.join(again, "doc", "left").select("doc", F.when(F.col("again"), F.xxhash64("text")).otherwise(0).alias("copy"), "text")
+
+
 def repeated_paragraphs(
     docs: DataFrame,
     shingle: int = 5,
@@ -107,7 +122,7 @@ def repeated_paragraphs(
 ) -> DataFrame:
     """Paragraphs to remove: ``(doc, copy, pos, n_words, run_words, component, kept_doc, kept_pos)``."""
     bands = Bands.tuned(num / den, rows=3, miss=1e-4)
-    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    named = _named(docs, _repeated_ids(docs, id_col), id_col, text_col)
     found = stage(paragraphs(named, shingle, bands, min_paragraph), "paragraphs")
     items = found.where("sig IS NOT NULL").select("id", "n", "keys", "sig")
     places = stage(found.select("doc", "copy", "pos", "idx", "n_words", "id"), "paragraph-places")
@@ -127,19 +142,22 @@ def repeated_paragraphs(
     labels, _ = similar_groups(items, texts_of, bands, shingle, num, den)
     release(found)
     grouped = places.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    firsts = (
+    # written, so that the join below is planned by itself and a component with many places can be split
+    firsts = stage(
         grouped.groupBy("component")
         .agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last_doc"))
         .where("last_doc <> first.doc")
-        .select("component", F.col("first.doc").alias("kept_doc"), F.col("first.pos").alias("kept_pos"))
+        .select("component", F.col("first.doc").alias("kept_doc"), F.col("first.pos").alias("kept_pos")),
+        "paragraph-firsts",
     )
+    free_shuffles(docs.sparkSession)
     repeats = grouped.join(firsts, "component").where("doc <> kept_doc").distinct()
     own = Window.partitionBy("doc", "copy").orderBy("idx")
     runs = repeats.withColumn("run", F.col("idx") - F.row_number().over(own)).withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc", "copy", "run")))
     return runs.where(F.col("run_words") >= min_words).select("doc", "copy", "pos", "n_words", "run_words", "component", "kept_doc", "kept_pos")
 
 
-GRAM, SPREAD, JOINED = 8, 16, 3
+GRAM, SPREAD = 8, 16
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -153,33 +171,36 @@ def _anchors(tokens: list[bytes]) -> list[int]:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """``(key, doc, copy, at, pos)``: chosen places of each text, alone and with the places that follow; ``at`` counts words."""
+    """``(key, doc, copy, at)``: chosen places of each text; ``at`` counts words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, "text"):
-            rows = []
-            for doc, copy, text in frame[["doc", "copy", "text"]].itertuples(index=False, name=None):
-                lines = [words(line) for line in (text or "").split("\n")]
-                tokens = [w for line in lines for w in line]
-                if len(tokens) < GRAM:
-                    continue
-                line_of = np.repeat(np.arange(len(lines)), [len(line) for line in lines])
-                at = _anchors(tokens)
-                names = [xxhash.xxh3_64_intdigest(b" ".join(tokens[i : i + GRAM])) for i in at]
-                for k, i in enumerate(at):
-                    rows.append((names[k] - (1 << 63), doc, copy, i, int(line_of[i])))
-                    if k + JOINED <= len(at):
-                        joined = xxhash.xxh3_64_intdigest(np.array(names[k : k + JOINED], dtype=np.uint64).tobytes())
-                        rows.append((joined - (1 << 63), doc, copy, i, int(line_of[i])))
-            yield pd.DataFrame(rows, columns=["key", "doc", "copy", "at", "pos"])
+            keys, sizes, places = [], [], []
+            for text in frame["text"]:
+                tokens = words(text)
+                at = _anchors(tokens) if len(tokens) >= GRAM else []
+                keys += [xxhash.xxh3_64_intdigest(b" ".join(tokens[i : i + GRAM])) for i in at]
+                places += at
+                sizes.append(len(at))
+            out = {"key": np.array(keys, dtype=np.uint64).view(np.int64), "at": np.array(places, dtype=np.int32)}
+            yield pd.DataFrame(out | {c: np.repeat(frame[c].to_numpy(dtype=np.int64), sizes) for c in ("doc", "copy")})[["key", "doc", "copy", "at"]]
+
+    return docs.mapInPandas(run, "key long, doc long, copy long, at int")
+
+
+def _edits(gap: int) -> list[tuple[int, int]]:
+    """Words of either side to step over at an edit, the smallest first."""
+    return sorted(((x, y) for x in range(gap + 1) for y in range(gap + 1) if x or y), key=lambda e: (max(e), sum(e)))
+
 
-    return docs.mapInPandas(run, "key long, doc long, copy long, at int, pos int")
+_STEPS = _edits(3)
 
 
 def _extend(a: list[bytes], b: list[bytes], i: int, j: int, step: int, gap: int = 3, equal: int = 4, cost: int = 4) -> tuple[int, int, int]:
     """From places ``i`` and ``j`` on: words of a and b, and equal words, up to the best score (one a word, less ``cost`` an edit)."""
     start_i, start_j, same, edits, score = i, j, 0, 0, 0
     best, ends = 0, (0, 0, 0)
+    steps = _STEPS if gap == 3 else _edits(gap)
     end_a, end_b = (len(a), len(b)) if step > 0 else (-1, -1)
     while True:
         while i != end_a and j != end_b and a[i] == b[j]:
@@ -189,7 +210,7 @@ def _extend(a: list[bytes], b: list[bytes], i: int, j: int, step: int, gap: int
             best, ends = score, (abs(i - start_i), abs(j - start_j), same)
         if score < best - 5 * cost:
             return ends
-        for total in sorted(((x, y) for x in range(gap + 1) for y in range(gap + 1) if x or y), key=lambda e: (max(e), sum(e))):
+        for total in steps:
             x, y = i + step * total[0], j + step * total[1]
             if all(0 <= x + step * k < len(a) and 0 <= y + step * k < len(b) and a[x + step * k] == b[y + step * k] for k in range(equal)):
                 i, j, edits = x, y, edits + max(total)
@@ -245,20 +266,24 @@ def repeated_spans(docs: DataFrame, gone: DataFrame, span_words: int = 50, min_p
 
     ``gone`` holds ``(doc, copy, pos)`` of the lines that go anyway. Characters are counted from the start of the text.
     """
-    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
-    places = stage(_places(named), "places")
-    firsts = places.groupBy("key").agg(F.min(F.struct("doc", "copy", "at")).alias("first"), F.max("doc").alias("last_doc")).where("last_doc <> first.doc")
+    spark = docs.sparkSession
+    named = _named(docs, _repeated_ids(docs, id_col), id_col, text_col)
+    order = Window.partitionBy("key").orderBy("doc", "copy", "at")
+    place = F.struct(F.col("doc").alias("kept_doc"), F.col("copy").alias("kept_copy"), F.col("at").alias("kept_at"))
+    met = _places(named).withColumn("first", F.first(place).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.lag(place).over(order)).where("doc <> first.kept_doc")
+    pairs = met.select("doc", "copy", "at", F.explode(F.array_distinct(F.array("first", "before"))).alias("kept")).where("kept.kept_doc <> doc")
+    # two places at least; a passage has two in any 39 words that are not changed
     seeds = (
-        places.join(gone.select("doc", "copy", "pos").distinct(), ["doc", "copy", "pos"], "left_anti")
-        .join(firsts.select("key", "first"), "key")
-        .where("doc <> first.doc")
-        .groupBy("doc", "copy", F.col("first.doc").alias("kept_doc"), F.col("first.copy").alias("kept_copy"))
-        .agg(F.collect_set(F.struct("at", F.col("first.at").alias("kept_at"))).alias("seeds"))
+        stage(pairs.select("doc", "copy", "at", "kept.*"), "met-places")
+        .groupBy("doc", "copy", "kept_doc", "kept_copy")
+        .agg(F.collect_set(F.struct("at", "kept_at")).alias("seeds"))
+        .where(F.size("seeds") > 1)
     )
+    free_shuffles(spark)
     seeds = stage(seeds, "seeds")
-    release(places)
+    free_shuffles(spark)
     own = seeds.select("doc", "copy").union(seeds.select("kept_doc", "kept_copy")).distinct()
-    texts = named.join(own, ["doc", "copy"], "left_semi").dropDuplicates(["doc", "copy"])
+    texts = named.join(own, ["doc", "copy"], "left_semi").groupBy("doc", "copy").agg(F.first("text").alias("text"))
     lines = gone.groupBy("doc", "copy").agg(F.collect_set("pos").alias("gone"))
     kept = texts.select(F.col("doc").alias("kept_doc"), F.col("copy").alias("kept_copy"), F.col("text").alias("kept_text"))
     pairs = seeds.join(lines, ["doc", "copy"], "left").join(kept, ["kept_doc", "kept_copy"]).join(texts, ["doc", "copy"])
@@ -269,7 +294,12 @@ def repeated_spans(docs: DataFrame, gone: DataFrame, span_words: int = 50, min_p
             columns = ["doc", "copy", "text", "gone", "kept_doc", "kept_text", "seeds"]
             for doc, copy, text, out, kept_doc, kept_text, common in frame[columns].itertuples(index=False, name=None):
                 a, b = words(text), words(kept_text)
-                spans = shared_spans(a, b, [(s["at"], s["kept_at"]) for s in common], span_words)
+                starts = [(s["at"], s["kept_at"]) for s in common]
+                if out is not None and len(out):
+                    # what lies in lines that go anyway needs no look
+                    line_of = np.repeat(np.arange(text.count("\n") + 1), [len(words(line)) for line in text.split("\n")])
+                    starts = [(i, j) for i, j in starts if line_of[i] not in out or line_of[i + GRAM - 1] not in out]
+                spans = shared_spans(a, b, starts, span_words)
                 if not spans:
                     continue
                 before = np.cumsum([len(words(line)) for line in kept_text.split("\n")])
@@ -285,22 +315,30 @@ def repeated_spans(docs: DataFrame, gone: DataFrame, span_words: int = 50, min_p
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = 50, **options) -> DataFrame:
     """Lines to remove, as ``repeated_paragraphs`` has them (no ``char_from``), and parts of lines, as ``repeated_spans`` has them (no ``component``)."""
     whole = stage(repeated_paragraphs(docs, id_col=id_col, text_col=text_col, **options), "repeated-paragraphs")
-    least = {k: v for k, v in options.items() if k in ("min_paragraph", "min_words")}
+    free_shuffles(docs.sparkSession)
+    least = {k: v for k, v in options.items() if k == "min_paragraph"}
     return stage(whole.unionByName(repeated_spans(docs, whole, span_words, id_col=id_col, text_col=text_col, **least), allowMissingColumns=True), "repeated-passages")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
     """The documents without their repeated passages, all columns kept; a count of characters is brought up to date.
 
-    A document of which nothing is left but repeats becomes the empty text. A line of which nothing is left goes with its line break.
+    A document of which nothing is left but repeats becomes the empty text. A line of which nothing is left goes with its line
+    break. The table's own columns may have any names: they are set aside meanwhile.
     """
     part = F.when(F.col("char_from").isNotNull(), F.struct("char_from", "char_to"))
     gone = repeated_passages(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc", "copy")
     gone = gone.agg(F.collect_set(F.when(F.col("char_from").isNull(), F.col("pos"))).alias("_gone"), F.sort_array(F.collect_set(part)).alias("_parts"))
     gone = gone.select(F.col("doc").alias("_doc"), F.col("copy").alias("_of"), "_gone", "_parts")
-    keyed = docs.withColumn("_copy", F.xxhash64(text_col))
-    joined = keyed.join(gone, (keyed[id_col] == F.col("_doc")) & (F.col("_copy") == F.col("_of")), "left")
-    own = F.col(text_col)
+    aside = docs.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in docs.columns])
+    key, own = F.col(f"`own_{id_col}`").cast("long"), F.col(f"`own_{text_col}`")
+    again = _repeated_ids(docs, id_col)
+    if again.isEmpty():
+        keyed = aside.withColumn("_copy", F.lit(0).cast("long"))
+    else:
+        keyed = aside.join(again.select(F.col("doc").alias("_again")), key == F.col("_again"), "left")
+        keyed = keyed.withColumn("_copy", F.when(F.col("_again").isNotNull(), F.xxhash64(own)).otherwise(0))
+    joined = keyed.join(gone, (key == F.col("_doc")) & (F.col("_copy") == F.col("_of")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     cut = F.aggregate(
         "_parts",
@@ -311,8 +349,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     was = F.split(own, "\n", -1)
     emptied = lambda x, i: (F.size("_parts") > 0) & ~x.rlike("[^ \\t\\x0B\\f\\r]") & F.get(was, i).rlike("[^ \\t\\x0B\\f\\r]")
     left = F.array_join(F.filter(F.split(F.when(F.size("_parts") > 0, cut).otherwise(own), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i) & ~emptied(x, i)), "\n")
-    text = F.when(F.col("_gone").isNull(), own).otherwise(left)
-    out = joined.withColumn(text_col, text)
+    out = joined.withColumn("_text", F.when(F.col("_gone").isNull(), own).otherwise(left))
+    kept = {c: F.col(f"`own_{c}`") for c in docs.columns}
+    kept[text_col] = F.col("_text")
     if chars_col and chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("_gone").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
-    return out.select(*docs.columns)
+        kept[chars_col] = F.when(F.col("_gone").isNull(), kept[chars_col]).otherwise(F.length("_text").cast(docs.schema[chars_col].dataType))
+    return out.select(*[value.alias(c) for c, value in kept.items()])

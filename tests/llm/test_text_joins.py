@@ -4,13 +4,11 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
-
 from netsift.llm import decontaminate, minhash, neardup, paragraphs, queries
 from netsift.llm.components import connected_components
 from netsift.llm.minhash import Bands
 
-from .helpers import DATA, DOCS, FOLD, components, docs_frame, near_links, sentence, sha, shingles
+from .helpers import DATA, DOCS, FOLD, components, docs_frame, near_earlier, near_links, placed_words, repeated_runs, sentence, sha, shingles
 
 
 def words(text):
@@ -220,11 +218,44 @@ def test_passages_without_line_breaks_of_their_own(spark):
     assert all(r.n_chars == len(r.text) for r in left.values())
 
 
-def test_all_passages_hold_the_lines_and_more(spark):
-    lines = {(r.doc_id, r.pos) for r in queries.QUERIES["op2_substring_dedup"](spark, DATA).collect()}
-    found = queries.QUERIES["op2_repeated_passages"](spark, DATA).collect()
+def check_cut(texts, lines, left, cut):
+    """Hold the places cut from each text against the rule: what must go, what may go, what stays."""
+    runs, unsure = repeated_runs(texts), 0
+    for i, text in texts.items():
+        own = placed_words(text)
+        whole = {k for k, x in enumerate(own) if (i, x[3]) in lines}
+        must = {k for k in runs[i] | whole if k in whole or own[k][4] >= 5}
+        assert must <= cut[i], (i, sorted(must - cut[i])[:5])
+        for k in sorted(cut[i] - must - runs[i])[::12]:
+            unsure += 1
+            assert near_earlier(texts, i, k), (i, k)
+        assert [x[0] for k, x in enumerate(own) if k not in cut[i]] == [x[0] for x in placed_words(left[i])]
+    return unsure
+
+
+def test_passages_of_the_small_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    lines = passages(texts, min_words=51)
+    found = queries.QUERIES["op2_substring_dedup"](spark, DATA).collect()
     assert {(r.doc_id, r.pos) for r in found if r.char_from is None} == lines
-    assert any(r.char_from is not None for r in found) and all(r.kept_doc_id < r.doc_id for r in found if r.char_from is not None)
+    parts = [r for r in found if r.char_from is not None]
+    assert parts and all(r.kept_doc_id < r.doc_id and r.run_words > 50 for r in parts)
+    cut = {i: set() for i in texts}
+    for r in found:
+        own = placed_words(texts[r.doc_id])
+        cut[r.doc_id].update(k for k, x in enumerate(own) if x[3] == r.pos and (r.char_from is None or r.char_from <= x[1] and x[2] <= r.char_to))
+    left = {r.doc_id: r.text for r in paragraphs.remove_repeats(docs, min_words=51).collect()}
+    check_cut(texts, lines, left, cut)
+
+
+def test_clashing_names_and_repeated_ids_stay(spark):
+    rng = random.Random(8)
+    shared = sentence(rng, 60)
+    rows = [(1, shared, "mine", 1, "a"), (2, "own words\n" + shared, "yours", 2, "b"), (2, "other text of two", "yours", 3, "c"), (None, shared, "none", 4, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _copy string, _gone int, doc string")
+    got = rows_of(paragraphs.remove_repeats(docs, min_words=51))
+    assert got == sorted([rows[0], (2, "own words", "yours", 2, "b"), rows[2], rows[3]], key=str)
 
 
 def test_queries_on_the_small_tables(spark):
@@ -233,11 +264,22 @@ def test_queries_on_the_small_tables(spark):
     assert rows_of(queries.QUERIES["op1_decontamination"](spark, DATA)) == contamination(docs.items(), items)
     got = {r.doc_id: r.component_id for r in queries.QUERIES["op5_near_duplicates"](spark, DATA).collect()}
     assert got == components(docs, near_links(docs, 3, 85, 100))
-    assert {(r.doc_id, r.pos) for r in queries.QUERIES["op2_substring_dedup"](spark, DATA).collect()} == passages(docs)
+
+
+def test_repeated_keys_equal_a_plain_count(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BUCKET_KEYS", 64)
+    rng = random.Random(9)
+    rows = [(i, 3, [rng.randrange(-900, 900) for _ in range(4)] + [7], b"x") for i in range(400)]
+    items = spark.createDataFrame(rows + rows[:50], "id long, n int, keys array<long>, sig binary").repartition(5)
+    want = {}
+    for i, _, keys, _ in rows:
+        for k in keys:
+            want.setdefault(k, set()).add(i)
+    want = {(k, i) for k, ids in want.items() if len(ids) > 1 for i in ids}
+    assert {(r.key, r.id) for r in minhash.bucket_members(items, 5).collect()} == want
 
 
 @pytest.mark.parametrize("query", ["op1_decontamination", "op2_substring_dedup", "op5_near_duplicates"])
 def test_no_join_without_a_key(spark, query):
     plan = queries.QUERIES[query](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
-    assert F is not None
