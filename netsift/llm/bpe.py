@@ -48,7 +48,9 @@ class Encoder:
         self.split = regex.compile(pattern)
         self.pairs: dict[int, bool] = {}
         self.joined: dict[int, tuple[int, int]] = {}
+        # pieces met lately, and those met before them: what does not come again is forgotten
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, data: bytes, whole: bool = True) -> list[bytes]:
         """The defining rule, for single tokens: join the pair of lowest rank, leftmost first. Without
@@ -134,8 +136,6 @@ class Encoder:
     def learn_pieces(self, pieces) -> None:
         """Encode pieces in byte order: each starts from the table of the prefix it shares with the one before."""
         ranks, known = self.ranks, self.pieces
-        if len(known) + len(pieces) > CACHE_PIECES:
-            known.clear()
         previous, last = b"", []
         for data, piece in sorted((p.encode("utf-8", "replace"), p) for p in pieces):
             whole = ranks.get(data)
@@ -157,11 +157,14 @@ class Encoder:
         for pieces in split:
             needed.update(pieces)
         fresh = needed.difference(self.pieces)
-        if len(self.pieces) + len(fresh) > CACHE_PIECES:
-            fresh = needed
-        self.learn_pieces(fresh)
+        again = fresh.intersection(self.older)
+        self.pieces.update((p, self.older[p]) for p in again)
+        self.learn_pieces(fresh - again)
         known = self.pieces.__getitem__
-        return [list(chain.from_iterable(map(known, pieces))) for pieces in split]
+        out = [list(chain.from_iterable(map(known, pieces))) for pieces in split]
+        if len(self.pieces) > CACHE_PIECES // 2:
+            self.pieces, self.older = {}, self.pieces
+        return out
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
@@ -216,45 +219,51 @@ class EncodedText:
         return text[match.start() :] == self.text[match.start() - shift :]
 
 
-_ENCODERS: dict[tuple[int, str], Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder_for(ranks: dict[bytes, int], pattern: str) -> Encoder:
-    key = (len(ranks), pattern)
+def encoder_for(ranks: dict[bytes, int], pattern: str, name: str) -> Encoder:
+    """The worker's encoder of a vocabulary, which its digest names."""
+    key = (name, pattern)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(ranks, pattern)
     return _ENCODERS[key]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
     """Token ids of every text: ``(id, n_tokens, ids, decoded)``, decoded being the bytes that the ids give.
 
-    The vocabulary is read once on the driver and broadcast; its size is that of the file.
+    ``packed`` ids are little-endian unsigned 32-bit numbers end to end, else an array. The vocabulary is
+    read once on the driver and broadcast; its size is that of the file.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    with open(path, "rb") as file:
+        name = hashlib.file_digest(file, "sha256").hexdigest()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_for(shared.value, pattern)
+        encoder = encoder_for(shared.value, pattern, name)
         for frame in slices(frames, "text", 1 << 22):
             ids = encoder.encode_all([t or "" for t in frame["text"]])
             yield pd.DataFrame(
                 {
                     "id": frame["id"],
                     "n_tokens": [len(x) for x in ids],
-                    "ids": [np.asarray(x, dtype=np.int32) for x in ids],
+                    "ids": [np.asarray(x, dtype="<u4").tobytes() if packed else np.asarray(x, dtype=np.int32) for x in ids],
                     "decoded": [encoder.decode(x) for x in ids],
                 }
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
     out = bound_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"id {id_type}, n_tokens long, ids array<int>, decoded binary"
+        run, f"id {id_type}, n_tokens long, ids {'binary' if packed else 'array<int>'}, decoded binary"
     )
     return out.withColumnRenamed("id", id_col)
 
 
 def digest_ids(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document: number of tokens and digests of the ids (little-endian unsigned 32 bit) and of the decoded bytes."""
+    if ids.schema["ids"].dataType.typeName() == "binary":
+        return ids.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -183,7 +183,7 @@ def turns_as_events(turns: DataFrame) -> DataFrame:
     rows = (
         turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
         .withColumn("copy", F.monotonically_increasing_id())
-        .withColumn("message", F.concat_ws(":", F.format_string("%020d", F.coalesce("turn", F.lit(0)) + F.lit(1 << 40)), "role", F.sha2("text", 256), F.format_string("%020d", "copy")))
+        .withColumn("message", F.concat_ws(":", F.format_string("%020d", F.coalesce(F.col("turn").cast("long"), F.lit(0)) + F.lit(1 << 40)), "role", F.sha2("text", 256), F.format_string("%020d", "copy")))
     )
     half = (F.length("text") / 2).cast("int")
     streamed = F.array(
@@ -194,5 +194,5 @@ def turns_as_events(turns: DataFrame) -> DataFrame:
     )
     whole = F.array(F.struct(F.lit(0).alias("step"), F.lit("message").alias("kind"), F.col("text").alias("part")))
     return rows.withColumn("event", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(whole))).select(
-        "conv_id", (F.coalesce("turn", F.lit(0)) * 4 + F.col("event.step")).alias("seq"), "message", F.col("event.kind").alias("kind"), "role", F.col("event.part").alias("text")
+        "conv_id", (F.coalesce(F.col("turn").cast("long"), F.lit(0)) * 4 + F.col("event.step")).alias("seq"), "message", F.col("event.kind").alias("kind"), "role", F.col("event.part").alias("text")
     )

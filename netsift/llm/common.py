@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import gc
 import os
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,20 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 40)) < int(rows / n * (1 << 40)))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts and labels 0 and 1 of at most about ``per_class`` labelled rows of each class.
+
+    Rows are chosen by their ids in the label table alone; the texts of the few that are chosen are then
+    looked up, so no text is shuffled.
+    """
+    own = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_label")).where("_id IS NOT NULL")
+    parts = [bounded_sample(own.where(F.col("_label") == c), "_id", per_class) for c in (0, 1)]
+    # at most about twice ``per_class`` ids
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))
+    found = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col)).join(chosen, F.col(id_col) == F.col("_id"))
+    return found.select(id_col, text_col, F.col("_label").alias(label))
+
+
 def slices(frames: Iterator[pd.DataFrame], text: str, chars: int = 1 << 21) -> Iterator[pd.DataFrame]:
     """Cut Arrow batches at about ``chars`` characters, so that work arrays stay small."""
     for frame in frames:
@@ -102,14 +118,30 @@ def slices(frames: Iterator[pd.DataFrame], text: str, chars: int = 1 << 21) -> I
             yield piece.reset_index(drop=True)
 
 
+def share_model(spark: SparkSession, model) -> Callable:
+    """Broadcast a model by value, so that workers need no copy of the package; the function gives it back in a task."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(packed.value)
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """The name, with underscores in front until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def score(docs: DataFrame, model, text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
     """The chosen columns of every row with the ``score`` of its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    load = share_model(docs.sparkSession, model)
     kept = [c for c in (columns or docs.columns) if c != "score"]
+    text = free_name(kept, "_text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in slices(frames, "_text"):
-            yield frame[kept].assign(score=shared.value.scores(frame["_text"].tolist()))
+        own = load()
+        for frame in slices(frames, text):
+            yield frame[kept].assign(score=own.scores(frame[text].tolist()))
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return bound_batches(docs).select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text")).mapInPandas(run, f"{fields}, score double")
+    return bound_batches(docs).select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias(text)).mapInPandas(run, f"{fields}, score double")

@@ -154,7 +154,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no window, with all their columns."""
+    """The documents that hold no window, with all their columns, whatever their names."""
     found = occurrences(docs, benchmark, window, id_col, text_col).select("doc", "copy").distinct()
-    keyed = docs.withColumn("_copy", F.xxhash64(text_col))
-    return keyed.join(found, keyed[id_col].eqNullSafe(F.col("doc")) & (F.col("_copy") == F.col("copy")), "left_anti").drop("_copy")
+    aside = docs.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in docs.columns])
+    same = F.col(f"`own_{id_col}`").eqNullSafe(F.col("doc")) & (F.xxhash64(F.col(f"`own_{text_col}`")) == F.col("copy"))
+    return aside.join(found, same, "left_anti").select(*[F.col(f"`own_{c}`").alias(c) for c in docs.columns])

@@ -27,9 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import bound_batches, slices
+from netsift.llm.common import bound_batches, share_model, slices
 
-WORD = re.compile(r"[^\W\d_]{1,32}")
+# numbers such as fractions and powers count as word characters, but are no letters
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+WORD = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]{{1,32}}")
 UND = "und"
 ORDERS = (1, 2, 3, 4)
 
@@ -225,13 +227,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The given rows with ``lang_pred``, ``score``, ``span_words`` and ``span_langs``; clashing columns are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    load = share_model(docs.sparkSession, model)
     new = ["lang_pred", "score", "span_words", "span_langs"]
     kept = [c for c in docs.columns if c not in new]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = load()
         for frame in slices(frames, text_col, 3 << 20):
-            labels = shared.value.label(frame[text_col].tolist())
+            labels = own.label(frame[text_col].tolist())
             yield pd.concat([frame, labels], axis=1)
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)

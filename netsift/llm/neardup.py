@@ -81,19 +81,24 @@ def _join_split_documents(labels: DataFrame, owned: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns.
+    """One document of each group, with all its columns, whatever their names. Ids are whole numbers.
 
     Rows that share an id and a text are one document, of which a fixed row stays; where only the id is shared, each text is
     a document of its own.
     """
-    twice = stage(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated-ids")
+    twice = stage(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again")), "repeated-ids")
+    aside = docs.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in docs.columns])
+    key, text = F.col(f"`own_{id_col}`"), F.col(f"`own_{text_col}`")
+    own = [F.col(f"`own_{c}`").alias(c) for c in docs.columns]
     if twice.isEmpty():
         found = near_duplicates(docs, shingle, num, den, id_col=id_col, text_col=text_col)
-        return docs.join(found.where(~F.col("kept")).select(id_col).distinct(), id_col, "left_anti")
-    own = F.when(F.col("_twice"), F.xxhash64(id_col, text_col)).otherwise(F.col(id_col).cast("long"))
-    keyed = docs.join(twice.withColumn("_twice", F.lit(True)), id_col, "left").withColumn("_row", own)
-    found = near_duplicates(keyed, shingle, num, den, id_col="_row", text_col=text_col)
-    kept = keyed.join(found.where(~F.col("kept")).select("_row").distinct(), "_row", "left_anti")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    alike = kept.where("_twice").groupBy("_row").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("x")).select("x.*")
-    return kept.where("_twice IS NULL").select(*docs.columns).unionByName(alike)
+        gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+        return aside.join(gone, key == F.col("_gone"), "left_anti").select(*own)
+    row = F.when(F.col("_again").isNotNull(), F.xxhash64(key, text)).otherwise(key.cast("long"))
+    keyed = aside.join(twice, key == F.col("_again"), "left").withColumn("_row", row)
+    found = near_duplicates(keyed.select("_row", text.alias("_text")), shingle, num, den, id_col="_row", text_col="_text")
+    gone = found.where(~F.col("kept")).select(F.col("_row").alias("_gone")).distinct()
+    kept = keyed.join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    whole = F.struct(*own)
+    alike = kept.where("_again IS NOT NULL").groupBy("_row").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_x")).select("_x.*")
+    return kept.where("_again IS NULL").select(*own).unionByName(alike)

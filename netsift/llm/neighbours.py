@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.llm.common import bounded_sample, stage
+from netsift.llm.common import bounded_sample, share_model, stage
 
 PART = 4096
 COPIES = 4
@@ -238,19 +238,21 @@ def search(rows: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
     spark = rows.sparkSession
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(index)
+    load = share_model(spark, index)
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = load()
         for f in frames:
             if len(f):
-                lists = shared.value.post(unit(matrix(f["v"])))
+                lists = own.post(unit(matrix(f["v"])))
                 yield f.loc[np.repeat(f.index, [len(x) for x in lists])].assign(list=[j for x in lists for j in x])
 
     def select(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = load()
         for f in frames:
             for s in range(0, len(f), 512):
                 g = f.iloc[s : s + 512]
-                lists = shared.value.select(unit(matrix(g["v"])), sizes, (k + 1) * COPIES)
+                lists = own.select(unit(matrix(g["v"])), sizes, (k + 1) * COPIES)
                 yield g.loc[np.repeat(g.index, [len(x) for x in lists])].assign(list=[int(j) for x in lists for j in x])
 
     posted = stage(distinct.mapInPandas(post, "v array<double>, id long, ids array<long>, list int"), "postings")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netsift.llm import bpe, chat, collocations, decontaminate, language, neardup, neighbours, paragraphs, quality, simhash, spelling, templates, toxicity
-from netsift.llm.common import held_out, score, table
+from netsift.llm.common import held_out, labelled_sample, score, table
 
 QUERIES = {}
 ORACLES = {}
@@ -27,29 +27,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated paragraphs of all documents: each whole line to remove, and the one of another document that stays."""
-    found = paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
-    return found.select(F.col("doc").alias("doc_id"), "pos", "n_words", "run_words", "component", F.col("kept_doc").alias("kept_doc_id"), "kept_pos")
-
-
-@_query
-def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All repeated passages: the lines of ``op2_substring_dedup``, and the parts of lines that are repeated whatever the line breaks."""
-    found = paragraphs.repeated_passages(table(spark, sf_dir, "documents"))
+    """Repeated passages of over 50 words of all documents: whole lines and parts of lines to remove, and the document that keeps each."""
+    found = paragraphs.repeated_passages(table(spark, sf_dir, "documents"), min_words=51)
     return found.select(F.col("doc").alias("doc_id"), "pos", "n_words", "run_words", "component", F.col("kept_doc").alias("kept_doc_id"), "kept_pos", "char_from", "char_to")
 
 
-def _labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Texts and labels of the rows that may be learnt from."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), label).where(F.col(label).isNotNull() & ~held_out("_id"))
-    return docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_id")).select("doc_id", "text", label)
+def _labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, label: str, per_class: int) -> DataFrame:
+    """Texts and labels of rows that may be learnt from."""
+    return labelled_sample(docs, table(spark, sf_dir, "labels").where(~held_out()), label, per_class)
 
 
 @_query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(_labelled(docs, spark, sf_dir, "toxic"))
+    model = toxicity.fit(_labelled(docs, spark, sf_dir, "toxic", 1_500))
     scored = score(docs, model, columns=("doc_id",))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -80,7 +72,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document, and of the bytes that they decode to."""
-    ids = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packed=True)
     return bpe.digest_ids(ids)
 
 
@@ -94,7 +86,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(docs, _labelled(docs, spark, sf_dir, "quality"))
+    model = quality.fit(docs, _labelled(docs, spark, sf_dir, "quality", 5_000))
     scored = score(docs, model, columns=("doc_id",))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -1,5 +1,6 @@
 """The corpus pipeline against a brute-force version, and on empty and odd rows."""
 
+import difflib
 import re
 
 import public_tokenizers
@@ -8,27 +9,48 @@ import tiktoken
 import corpus_pipeline
 from netsift.llm import bpe, queries
 
-from .helpers import DATA, DOCS, components, near_links
+from .helpers import DATA, DOCS, components, near_earlier, near_links, placed_words, repeated_runs
 from .test_text_joins import contamination, passages
 
 
-def brute_force(texts, items):
-    """Token ids of the documents that stay, by id."""
-    texts = {i: t for i, t in texts.items() if t and re.search(r"[^\W\d_]", t)}
-    group = components(texts, near_links(texts, 5, 80, 100))
-    texts = {i: t for i, t in texts.items() if group[i] == i}
-    gone = passages(texts)
-    texts = {i: "\n".join(x for pos, x in enumerate(t.split("\n")) if (i, pos) not in gone) for i, t in texts.items()}
-    dirty = {r[0] for r in contamination(texts.items(), items) if r[5]}
-    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return {i: encoding.encode_ordinary(t) for i, t in texts.items() if i not in dirty}
-
-
 def test_pipeline_equals_brute_force(spark):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    """Every stage against a plain version on its own input, and the whole run against the chain of them."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(texts) == docs.count()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    want = brute_force(texts, items)
+    seen = {}
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(function(spark, docs, DATA).collect(), DOCS)
+        seen[name] = {r.doc_id: r.text for r in docs.collect()}
+    told = {i: t for i, t in texts.items() if t and re.search(r"[^\W\d_]", t)}
+    assert seen["language"] == told
+    group = components(told, near_links(told, 5, 80, 100))
+    apart = {i: t for i, t in told.items() if group[i] == i}
+    assert seen["near_duplicates"] == apart
+    cut = {}
+    for i, t in apart.items():
+        own, left = placed_words(t), [x[0] for x in placed_words(seen["passages"][i])]
+        match = difflib.SequenceMatcher(None, [x[0] for x in own], left, autojunk=False)
+        kept = {k for block in match.get_matching_blocks() for k in range(block.a, block.a + block.size)}
+        assert len(kept) == len(left)
+        cut[i] = set(range(len(own))) - kept
+    assert seen["passages"].keys() == apart.keys()
+    runs, lines = repeated_runs(apart), passages(apart, min_words=51)
+    for i, t in apart.items():
+        whole = {k for k, x in enumerate(placed_words(t)) if (i, x[3]) in lines}
+        if not cut[i]:
+            assert seen["passages"][i] == t and not whole and not runs[i]
+        # equal words at an edge may be taken for one another in the comparison of before and after
+        assert len((runs[i] | whole) - cut[i]) <= len(cut[i]) // 10
+        unsure = sorted(cut[i] - runs[i] - whole)
+        assert sum(near_earlier(apart, i, k) for k in unsure[::15]) >= 0.9 * len(unsure[::15])
+    assert any(cut.values()) and not any(repeated_runs({**{j: apart[j] for j in apart if j < i}, i: seen["passages"][i]})[i] for i in cut if cut[i])
+    dirty = {r[0] for r in contamination(seen["passages"].items(), items) if r[5]}
+    assert seen["benchmark"] == {i: t for i, t in seen["passages"].items() if i not in dirty} and dirty
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {i: encoding.encode_ordinary(t) for i, t in seen["benchmark"].items()}
     got = {r.doc_id: (r.n_tokens, list(r.ids)) for r in queries.QUERIES["pipeline"](spark, DATA).collect()}
     assert got == {i: (len(x), x) for i, x in want.items()}
     assert len(want) < len(texts)
