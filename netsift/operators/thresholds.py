@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netsift.operators.decomposition import stl_threshold
 from netsift.operators.learning import keep_latest
 from netsift.operators.ordering import row_chunks, row_numbers, sliced_scan, time_cuts
 
@@ -163,7 +164,7 @@ def seasonal_threshold(
     ``period`` values, season the mean deviation from it at the same phase over
     the last ``window`` values, residual what remains. With fewer than
     two periods trend and season are 0 and the residuals are the values (0 for
-    the first). This stands in for a loess-based decomposition.
+    the first). The loess-based decomposition is ``stl_threshold``.
     """
     cycles = max(window // period, 1)
     reach = 2 * window + 2 * period + 1
@@ -229,7 +230,7 @@ def flag_over_threshold(df: DataFrame, value: str = "value") -> DataFrame:
 
 @dataclass(frozen=True)
 class ThresholdPlan:
-    """How one feature is watched: ``moving``, ``ewma`` or ``seasonal``, with options of that function.
+    """How one feature is watched: ``moving``, ``ewma``, ``seasonal`` or ``stl``, with options of that function.
 
     ``method`` may also be a function like those: it takes the feature's rows,
     ``tie`` and the options, and adds ``threshold`` and ``previous_threshold``.
@@ -240,7 +241,7 @@ class ThresholdPlan:
     options: dict = field(default_factory=dict)
 
 
-METHODS = {"moving": moving_threshold, "ewma": ewma_threshold, "seasonal": seasonal_threshold}
+METHODS = {"moving": moving_threshold, "ewma": ewma_threshold, "seasonal": seasonal_threshold, "stl": stl_threshold}
 
 
 def apply_thresholds(df: DataFrame, plan: Sequence[ThresholdPlan], tie: str = "row_id") -> DataFrame:

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["rules", "fields", "traffic", "preparation", "intel", "quality", "series", "models", "live"]
+MODULES = ["rules", "fields", "traffic", "preparation", "intel", "quality", "series", "models", "live", "user"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -176,7 +176,7 @@ def resumed_thresholds(spark, sf_dir):
     for part in later:
         part.write.mode("append").parquet(inbox)
         source = own.readStream.schema(part.schema).parquet(inbox)
-        run = stateful.ewma_stream(source, initial=state, unused_seconds=86_400).writeStream.format("parquet").option("path", out)
+        run = stateful.ewma_stream(source, initial=state).writeStream.format("parquet").option("path", out)
         run.option("checkpointLocation", os.path.join(folder, "state")).trigger(availableNow=True).start().awaitTermination()
     columns = ["feature", "row_id", F.round("ewma", 4).alias("ewma"), F.round("threshold", 4).alias("threshold")]
     return done.select(*columns).union(spark.read.parquet(out).select(*columns))
@@ -185,9 +185,9 @@ def resumed_thresholds(spark, sf_dir):
 
 @query(
     "k7_refreshed_feed",
-    with_packets("""WITH cut AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS at, min(ts) AS low FROM packets),
-      lists AS (SELECT DISTINCT src_ip AS value, 'scan' AS feed, low AS t0, CASE WHEN src_ip LIKE '8.8.%' THEN at END AS t1 FROM packets, cut WHERE packet_id % 50 = 0
-        UNION ALL SELECT DISTINCT dst_ip, 'sinkhole', at, CAST(NULL AS TIMESTAMP) FROM packets, cut WHERE packet_id % 97 = 0),
+    with_packets("""WITH cut AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS half, min(ts) AS low FROM packets),
+      lists AS (SELECT DISTINCT src_ip AS value, 'scan' AS feed, low AS t0, CASE WHEN src_ip LIKE '8.8.%' THEN half END AS t1 FROM packets, cut WHERE packet_id % 50 = 0
+        UNION ALL SELECT DISTINCT dst_ip, 'sinkhole', half, CAST(NULL AS TIMESTAMP) FROM packets, cut WHERE packet_id % 97 = 0),
       ends AS (SELECT packet_id, ts, 'src_ip' AS field, src_ip AS value FROM packets UNION ALL SELECT packet_id, ts, 'dst_ip', dst_ip FROM packets)
     SELECT packet_id, field, value, feed FROM ends JOIN lists USING (value) WHERE ts >= t0 AND (t1 IS NULL OR ts < t1)"""),
 )

@@ -64,6 +64,20 @@ def seasonal_threshold(spark, sf_dir):
     return _round(_round(out, "threshold"), "trend", "seasonal", digits=8)
 
 
+@query(
+    "f5_stl_threshold",
+    f"""WITH {_SERIES}, o AS (SELECT *, row_number() OVER ({_ORDER}) AS rn FROM s),
+      r AS (SELECT *, CASE WHEN rn = 1 THEN 0 ELSE value END AS raw FROM o),
+      e AS (SELECT *, 3 * stddev_pop(raw) OVER (PARTITION BY feature ORDER BY rn ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS early FROM r)
+    SELECT feature, row_id, rn AS position, CASE WHEN rn = 1 THEN 0 ELSE round(value, 6) END AS recomposed, CASE WHEN rn < 48 THEN round(early, 6) END AS early_threshold, true AS above FROM e""",
+)
+def stl_threshold(spark, sf_dir):
+    """Parts add up to the values, thresholds lie above trend and season, and before two periods they are determined."""
+    out = H.stl_threshold(series(spark, sf_dir)).withColumn("recomposed", F.col("trend") + F.col("seasonal") + F.col("residual"))
+    early = F.when(F.col("position") < 48, F.round("threshold", 6))
+    return out.select("feature", "row_id", "position", F.round("recomposed", 6).alias("recomposed"), early.alias("early_threshold"), (F.col("threshold") >= F.col("trend") + F.col("seasonal")).alias("above"))
+
+
 @query(
     "f6_seasonal_forecast",
     f"""WITH {_SEASONAL}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY rn DESC) AS back FROM u) WHERE back = 1)
@@ -143,7 +157,21 @@ def plate_candidates(spark, sf_dir):
     return D.plate_candidates(boxes(spark, sf_dir)).select("image", "x", "y", "w", "h")
 
 
-@query("f12_nms")
+@query(
+    "f12_nms",
+    """WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, box_id) AS rn FROM (
+    SELECT 'img-' || CAST(l_partkey % 500 AS VARCHAR) AS image, l_orderkey * 10 + l_linenumber AS box_id, CAST(l_suppkey % 97 * 5 AS INT) AS x,
+      CAST(l_orderkey % 89 * 4 AS INT) AS y, CAST(l_quantity * (4 + l_suppkey % 5) AS INT) AS w, CAST(l_quantity * (1 + l_linenumber % 3) AS INT) AS h,
+      l_extendedprice AS confidence FROM lineitem)),
+  step AS (SELECT image, rn, [box_id] AS ids, [[x, y, x + w, y + h, w * h]] AS kept FROM b WHERE rn = 1
+    UNION ALL SELECT image, rn, CASE WHEN stays THEN list_append(ids, box_id) ELSE ids END, CASE WHEN stays THEN list_append(kept, own) ELSE kept END FROM (
+      SELECT b.image, b.rn, s.ids, s.kept, b.box_id, [x, y, x + w, y + h, w * h] AS own,
+        len(list_filter(s.kept, lambda k: greatest(least(x + w, k[3]) - greatest(x, k[1]), 0) * greatest(least(y + h, k[4]) - greatest(y, k[2]), 0)
+          > 0.4 * (w * h + k[5] - greatest(least(x + w, k[3]) - greatest(x, k[1]), 0) * greatest(least(y + h, k[4]) - greatest(y, k[2]), 0)))) = 0 AS stays
+      FROM step s JOIN b ON b.image = s.image AND b.rn = s.rn + 1)),
+  ends AS (SELECT image, unnest(ids) AS box_id FROM (SELECT image, arg_max(ids, rn) AS ids FROM step GROUP BY image))
+SELECT image, box_id, x, y, w, h, confidence FROM ends JOIN b USING (image, box_id)""",
+)
 def nms(spark, sf_dir):
     return D.nms(boxes(spark, sf_dir).withColumn("class", F.lit("license_plate")), 0.4).select("image", "box_id", "x", "y", "w", "h", "confidence")
 

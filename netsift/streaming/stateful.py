@@ -212,6 +212,8 @@ def ewma_stream(
     Rows enter in arrival order of the batches, and in time order within one. ``initial`` (key, ``ewma``,
     ``ewmvar``), as ``load_threshold_state`` gives it, continues earlier series; the state of a feature
     without rows for ``unused_seconds`` is dropped, and the feature starts anew. Both need the RocksDB store.
+    Spark keeps a query that drops state by the clock awake, so ``unused_seconds`` is for a query that runs on,
+    not for one that is to end when there is nothing left to read.
     """
     narrow = stream.where(F.col(value).isNotNull()).select(key, tie, epoch_micros(ts).alias("us"), F.col(value).cast("double").alias("value"))
     numbers = [T.StructField(c, T.DoubleType()) for c in ("value", "ewma", "ewmvar", "threshold", "previous_threshold")]
@@ -222,7 +224,7 @@ def ewma_stream(
         use_rocksdb(stream.sparkSession)
         unused = None if unused_seconds is None else max(int(unused_seconds * 1000), 1)
         start = None if initial is None else initial.select(key, F.col("ewma").cast("double"), F.col("ewmvar").cast("double")).groupBy(key)
-        found = narrow.groupBy(key).transformWithStateInPandas(EwmaProcessor(key, tie, alpha, k, unused), out, "Append", "ProcessingTime", initialState=start)
+        found = narrow.groupBy(key).transformWithStateInPandas(EwmaProcessor(key, tie, alpha, k, unused), out, "Append", "None" if unused is None else "ProcessingTime", initialState=start)
         return found.withColumn(ts, F.timestamp_micros("us")).drop("us")
     kept = T.StructType([T.StructField("m", T.DoubleType()), T.StructField("s", T.DoubleType())])
 
