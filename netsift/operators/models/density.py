@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsift.operators.models import grid
 from netsift.operators.models import neighbors as N
 from netsift.operators.models.base import is_complete, load_parameters, matrix, save_parameters, squared_distances, vector
 from netsift.operators.models.components import connected_components
@@ -52,9 +53,10 @@ class Dbscan:
     """Clusters of core points (``min_samples`` rows within ``eps``, the row itself included).
 
     Equal vectors are first reduced to one weighted point, so copies cost
-    nothing. Points are sent to the cells around pivots with a border of
-    ``eps``; each cell links its core points, and the cells' clusters are
-    joined by connected components.
+    nothing. Up to three features are clustered on a grid (:mod:`grid`). With
+    more, points are sent to the cells around pivots with a border of ``eps``;
+    each cell links its core points, and the cells' clusters are joined by
+    connected components.
     """
 
     features: Sequence[str]
@@ -72,6 +74,8 @@ class Dbscan:
         n = points.count()
         if n == 0:
             raise ValueError("no complete rows to fit")
+        if grid.fits(points, eps):
+            return self._fitted(points, grid.cluster(points, eps, least).checkpoint())
         centres = N.choose_pivots(points, n, self.cell_rows)
         placed = points.withColumn("_c", N.home_cell(centres)).select("id", "x", "w", F.col("_c.cell").alias("home"), "_c.d")
         pivots = N.build_pivots(placed.withColumnRenamed("home", "cell"), centres)
@@ -115,7 +119,10 @@ class Dbscan:
         shared = cores.groupBy("id").agg(F.min("part").alias("a"))
         edges = cores.join(shared, "id").select("a", F.col("part").alias("b")).distinct()
         roots = connected_components(edges)
-        clustered = parts.join(roots, F.col("part") == F.col("node")).select("id", "root", "core")
+        return self._fitted(points, parts.join(roots, F.col("part") == F.col("node")).select("id", "root", "core"))
+
+    def _fitted(self, points: DataFrame, clustered: DataFrame) -> FittedDbscan:
+        """The detector for points ``(id, x, w)`` and their clusters ``(id, root, core)``."""
         # clusters are numbered by their least core row; a border point takes the first of its clusters
         first = clustered.where("core").groupBy("root").agg(F.min("id").alias("first"))
         numbered = running_totals(first.withColumn("_one", F.lit(1)), "first", {"_n": "_one"})
@@ -124,7 +131,7 @@ class Dbscan:
         points = points.join(labelled, "id", "left").select(
             "id", "x", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core")
         )
-        return FittedDbscan(list(self.features), self.id_col, eps, points.checkpoint())
+        return FittedDbscan(list(self.features), self.id_col, self.eps, points.checkpoint())
 
 
 @dataclass

@@ -39,7 +39,9 @@ def stream_session(spark: SparkSession) -> SparkSession:
     """A session of its own, so that the settings of the streams do not reach the caller's."""
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", "UTC")
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    # state is kept in so many parts for good, and each is a task of every batch
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    own.conf.set("spark.sql.shuffle.partitions", str(max(parts, 1)))
     return own
 
 

@@ -292,15 +292,20 @@ def detect_stream(stream: DataFrame, rules: Sequence[R.SignatureRule], row_id: s
     packets = flagged.withColumn("_plain", first).drop(*names)
     if stateful:
         use_rocksdb(stream.sparkSession)
-        hits = None
+        hits, asked = None, set()
         for place, rate, before in stateful:
+            # a rate rule that an earlier one repeats is never first
+            if (rate.track_by, rate.count, rate.seconds) in asked:
+                continue
+            if not before:
+                asked.add((rate.track_by, rate.count, rate.seconds))
             passed = stream
             for needed in before:
                 passed = passed.where(F.coalesce(needed.column(), F.lit(False)))
             own = rate_stream(passed, rate.track_by, rate.count, rate.seconds, row_id, ts)
             own = own.select(F.col("ts").alias("_at"), F.col(row_id).alias("_of"), F.lit(place).alias("_rate"))
             hits = own if hits is None else hits.union(own)
-        if len(stateful) > 1:
+        if stateful[1:]:
             hits = hits.groupBy("_at", "_of").agg(F.min("_rate").alias("_rate"))
         packets = packets.join(hits, (F.col(row_id) == F.col("_of")) & (F.col(ts) == F.col("_at")), "left").drop("_of", "_at")
     else:

@@ -11,7 +11,6 @@ from netsift.plans.tables import TABLES
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
-ONE_ROW_JOINS = {"e20_evaluation_report", "j11_drift_report", "j12_should_retrain", "j17_update_needed"}
 
 spec = importlib.util.spec_from_file_location("check", os.path.join(ROOT, "tools", "check.py"))
 check = importlib.util.module_from_spec(spec)
@@ -32,8 +31,7 @@ def con():
 def test_query(spark, con, name):
     _, text = check.compare(spark, con, name, DATA)
     assert not text.startswith("FAIL"), text
-    # only tables of one row may be joined without a key
-    assert "CROSS" not in text or name in ONE_ROW_JOINS, text
+    assert "CROSS" not in text, text
 
 
 def test_entry_module():
