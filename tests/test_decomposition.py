@@ -72,7 +72,7 @@ def plain(y, period, robust=True, seasonal=7):
 
 
 def wave(rng, n, period):
-    y = [5 * np.sin(2 * np.pi * i / period) + 0.05 * i + rng.gauss(0, 1) for i in range(n)]
+    y = [float(5 * np.sin(2 * np.pi * i / period) + 0.05 * i + rng.gauss(0, 1)) for i in range(n)]
     y[n // 2] += 25
     return y
 
