@@ -163,14 +163,14 @@ def plate_candidates(spark, sf_dir):
     SELECT 'img-' || CAST(l_partkey % 500 AS VARCHAR) AS image, l_orderkey * 10 + l_linenumber AS box_id, CAST(l_suppkey % 97 * 5 AS INT) AS x,
       CAST(l_orderkey % 89 * 4 AS INT) AS y, CAST(l_quantity * (4 + l_suppkey % 5) AS INT) AS w, CAST(l_quantity * (1 + l_linenumber % 3) AS INT) AS h,
       l_extendedprice AS confidence FROM lineitem)),
-  step AS (SELECT image, rn, [box_id] AS ids, [[x, y, x + w, y + h, w * h]] AS kept FROM b WHERE rn = 1
-    UNION ALL SELECT image, rn, CASE WHEN stays THEN list_append(ids, box_id) ELSE ids END, CASE WHEN stays THEN list_append(kept, own) ELSE kept END FROM (
-      SELECT b.image, b.rn, s.ids, s.kept, b.box_id, [x, y, x + w, y + h, w * h] AS own,
+  step AS (SELECT image, rn, [rn] AS ids, [[x, y, x + w, y + h, w * h]] AS kept FROM b WHERE rn = 1
+    UNION ALL SELECT image, rn, CASE WHEN stays THEN list_append(ids, rn) ELSE ids END, CASE WHEN stays THEN list_append(kept, own) ELSE kept END FROM (
+      SELECT b.image, b.rn, s.ids, s.kept, [x, y, x + w, y + h, w * h] AS own,
         len(list_filter(s.kept, lambda k: greatest(least(x + w, k[3]) - greatest(x, k[1]), 0) * greatest(least(y + h, k[4]) - greatest(y, k[2]), 0)
           > 0.4 * (w * h + k[5] - greatest(least(x + w, k[3]) - greatest(x, k[1]), 0) * greatest(least(y + h, k[4]) - greatest(y, k[2]), 0)))) = 0 AS stays
       FROM step s JOIN b ON b.image = s.image AND b.rn = s.rn + 1)),
-  ends AS (SELECT image, unnest(ids) AS box_id FROM (SELECT image, arg_max(ids, rn) AS ids FROM step GROUP BY image))
-SELECT image, box_id, x, y, w, h, confidence FROM ends JOIN b USING (image, box_id)""",
+  ends AS (SELECT image, unnest(ids) AS rn FROM (SELECT image, arg_max(ids, rn) AS ids FROM step GROUP BY image))
+SELECT image, box_id, x, y, w, h, confidence FROM ends JOIN b USING (image, rn)""",
 )
 def nms(spark, sf_dir):
     return D.nms(boxes(spark, sf_dir).withColumn("class", F.lit("license_plate")), 0.4).select("image", "box_id", "x", "y", "w", "h", "confidence")
