@@ -278,6 +278,8 @@ def repeated_spans(docs: DataFrame, gone: DataFrame, span_words: int = 50, min_p
         .groupBy("doc", "copy", "kept_doc", "kept_copy")
         .agg(F.collect_set(F.struct("at", "kept_at")).alias("seeds"))
         .where(F.size("seeds") > 1)
+        # plain numbers stay small in Python
+        .select("doc", "copy", "kept_doc", "kept_copy", F.col("seeds.at").alias("ats"), F.col("seeds.kept_at").alias("kept_ats"))
     )
     free_shuffles(spark)
     seeds = stage(seeds, "seeds")
@@ -291,10 +293,10 @@ def repeated_spans(docs: DataFrame, gone: DataFrame, span_words: int = 50, min_p
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames, "text"):
             rows = []
-            columns = ["doc", "copy", "text", "gone", "kept_doc", "kept_text", "seeds"]
-            for doc, copy, text, out, kept_doc, kept_text, common in frame[columns].itertuples(index=False, name=None):
+            columns = ["doc", "copy", "text", "gone", "kept_doc", "kept_text", "ats", "kept_ats"]
+            for doc, copy, text, out, kept_doc, kept_text, ats, kept_ats in frame[columns].itertuples(index=False, name=None):
                 a, b = words(text), words(kept_text)
-                starts = [(s["at"], s["kept_at"]) for s in common]
+                starts = list(zip(map(int, ats), map(int, kept_ats), strict=True))
                 if out is not None and len(out):
                     # what lies in lines that go anyway needs no look
                     line_of = np.repeat(np.arange(text.count("\n") + 1), [len(words(line)) for line in text.split("\n")])
