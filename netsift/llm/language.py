@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 
 from netsift.llm.common import bound_batches, share_model, slices
 
-# numbers such as fractions and powers count as word characters, but are no letters
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-WORD = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]{{1,32}}")
+# numbers such as fractions and powers count as word characters, but are no letters; those beyond the first
+# plane are taken out of the texts that have such characters, because they would slow the pattern down
+_NUMBERS = [c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha()]
+WORD = re.compile(rf"[^\W\d_{re.escape(''.join(c for c in _NUMBERS if c <= chr(0xFFFF)))}]{{1,32}}")
+FAR = re.compile("[\U00010000-\U0010FFFF]")
+_FAR_NUMBERS = {ord(c): " " for c in _NUMBERS if c > chr(0xFFFF)}
 UND = "und"
 ORDERS = (1, 2, 3, 4)
 
@@ -74,7 +77,9 @@ _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return WORD.findall((text.translate(_FAR_NUMBERS) if FAR.search(text) else text).lower())
 
 
 def ngram_buckets(words: list[str], n: int, codes: np.ndarray, starts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

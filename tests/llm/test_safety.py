@@ -51,7 +51,7 @@ def test_turns_of_any_width(spark):
 def test_numbers_are_no_letters(spark):
     docs = [(k, sentence(random.Random(k), 30), "en") for k in range(20)]
     model = language.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
-    texts = ["½ ²", "③ Ⅷ ௰ 12 _", "a½", "一", None]
+    texts = ["½ ²", "③ Ⅷ ௰ 12 _ \U00010107 \U0001F10B", "a½", "一", None]
     got = [r.lang_pred for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).sort("doc_id").collect()]
     assert got[0] == got[1] == got[4] == "und" and got[2] == "en" and got[3] != "und"
 
